@@ -1,9 +1,14 @@
 """Queries of this package for __spark_entry__.py, and DuckDB SQL for those that SQL can express."""
 
-from . import op3_token_store, op4_byte_bpe
+from . import op2_url_filter, op3_token_store, op4_byte_bpe, op6_decontaminate, op10_license_scan
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter.query,
     "op3_token_store": op3_token_store.query,
     "op4_byte_bpe": op4_byte_bpe.query,
+    "op6_decontaminate": op6_decontaminate.query,
+    "op10_license_scan": op10_license_scan.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": op2_url_filter.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
