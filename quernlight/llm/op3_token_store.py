@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,9 +29,13 @@ from .common import shared_path, table
 
 CONTAINER_IDS = 1 << 20
 #: Chunks longer than this are encoded without being remembered; at most MEMO chunks are remembered by a worker.
-LONGEST, MEMO = 48, 300_000
-#: No token of a vocabulary that drops white space spans these, whatever its normalizer does.
-_CHUNK = re.compile(r"[^ \t\n\r]+")
+LONGEST, MEMO = 48, 600_000
+#: Where no normal form and no lower case depends on what stands beside, a text is cut into letters that follow and
+#: precede ASCII, digits, and marks between them; elsewhere, and otherwise, at white space only. The tokenizer's own
+#: pattern (letters, single digits, runs of other marks, clitics after an apostrophe) cuts at all of these places.
+_LETTERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_FINE = re.compile(rf"[{_LETTERS}]++(?![^\x00-\x7f])|[!-&(-/:-@\[-`{{-~]++(?=[ \t\n\r0-9{_LETTERS}]|\Z)|[0-9]|[^ \t\n\r]+")
+_COARSE = re.compile(r"[^ \t\n\r]+")
 
 
 class Memo(dict):
@@ -50,7 +55,7 @@ class Memo(dict):
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str):
-    """text -> little-endian unsigned 32-bit ids, for a tokenizer that drops white space before it splits."""
+    """text -> little-endian unsigned 32-bit ids, for the tokenizer file of lower-cased words that end in </w>."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -60,7 +65,13 @@ def word_encoder(path: str):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     memo = Memo(encode)
-    return lambda text: b"".join(map(memo.__getitem__, _CHUNK.findall(text)))
+
+    def whole(text: str) -> bytes:
+        plain = text.isascii() or (unicodedata.is_normalized("NFC", text) and "\u03a3" not in text)
+        plain = plain and "<|" not in text
+        return b"".join(map(memo.__getitem__, _FINE.findall(text.lower()) if plain else _COARSE.findall(text)))
+
+    return whole
 
 
 STORE = "shard int, seq int, base long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
