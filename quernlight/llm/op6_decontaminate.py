@@ -12,10 +12,12 @@ match nothing. Repeated rows, ids and items: a result row for each pair of ids.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_bits, in_bitmap, rolling, table
+from .common import bitmap, bitmap_bits, in_bitmap, table
 
 #: The words that each mask reads, 1 for those that count.
 MASKS = ("11011011", "11101101", "11010111")
@@ -29,43 +31,47 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _seeds(at: str) -> Column:
-    """The seed of each mask over the words at a place."""
-    return F.array(*[F.xxhash64(F.lit(m), *[F.col(f"{at}.w{j}") for j, on in enumerate(mask) if on == "1"]) for m, mask in enumerate(MASKS)])
+def _seeds(words: str, at: str) -> list[Column]:
+    """The seed of each mask over the words from a place on."""
+    return [F.xxhash64(F.lit(m), *[F.get(words, F.col(at) + j) for j, on in enumerate(mask) if on == "1"]) for m, mask in enumerate(MASKS)]
 
 
-def _pair(at: str) -> Column:
-    return F.xxhash64(F.col(f"{at}.w0"), F.col(f"{at}.w1"))
+def _places(texts: DataFrame, words: str) -> DataFrame:
+    """A row for each place with SPAN words from there on, with the hash of the first two."""
+    placed = texts.select("*", F.posexplode(words).alias("pos", "word"))
+    return placed.filter(F.col("pos") + SPAN <= F.size(words)).withColumn("pair", F.xxhash64("word", F.get(words, F.col("pos") + 1))).drop("word")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_matched (words that agree in the best window), n_window, first_word (where the item would start; may be negative)."""
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("item"))
     items = items.filter(F.size("item") >= SPAN).distinct()
-    whole = F.col(f"at.w{SPAN - 1}").isNotNull()
-    starts = items.select("item_id", F.posexplode(rolling(F.col("item"), SPAN)).alias("place", "at")).filter(whole)
-    seeds = starts.select("item_id", "place", F.explode(_seeds("at")).alias("seed"))
+    starts = _places(items, "item")
+    seeds = starts.select("item_id", F.size("item").alias("n_item"), F.col("pos").alias("place"), F.explode(F.array(*_seeds("item", "pos"))).alias("seed"))
     n_seeds, longest = (x or 0 for x in items.agg(F.sum(len(MASKS) * (F.size("item") - SPAN + 1)), F.max(F.size("item"))).first())
     small, bits = n_seeds <= BROADCAST_SEEDS, bitmap_bits(n_seeds, 64)
-    pair_bits = bitmap(starts.select(_pair("at")), bits)
+    pair_bits = bitmap(starts.select("pair"), bits)
     seed_bits = bitmap(seeds.select("seed"), bits)
 
     split = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    placed = split.select("doc_id", "words", F.posexplode(rolling(F.col("words"), SPAN)).alias("pos", "at"))
-    likely = placed.filter(whole & in_bitmap(pair_bits, _pair("at"), bits))
-    seeded = likely.select("doc_id", "words", "pos", F.explode(_seeds("at")).alias("seed")).filter(in_bitmap(seed_bits, F.col("seed"), bits))
-    # the words around a hit that the longest item could reach, and where they begin
-    begin = F.greatest(F.col("pos") - longest, F.lit(0))
-    found = seeded.select("doc_id", "pos", "seed", begin.alias("begin"), F.slice("words", begin + 1, F.lit(2 * longest)).alias("around"))
+    likely = _places(split, "words").filter(in_bitmap(pair_bits, F.col("pair"), bits))
+    # the words around a hit that the longest item could reach, and where they begin: a row must not carry its whole text
+    hit, begin = [in_bitmap(seed_bits, seed, bits) for seed in _seeds("words", "pos")], F.greatest(F.col("pos") - longest, F.lit(0))
+    near_hits = likely.filter(reduce(lambda a, b: a | b, hit)).select(
+        "doc_id", "pos", F.array(*_seeds("words", "pos")).alias("seeds"), begin.alias("begin"), F.slice("words", begin + 1, F.lit(2 * longest)).alias("around")
+    )
+    found = near_hits.select("doc_id", "pos", "begin", "around", F.explode("seeds").alias("seed"))
     near = found.join(F.broadcast(seeds) if small else seeds, "seed").withColumn("first_word", F.col("pos") - F.col("place"))
-    near = near.join(F.broadcast(items) if small else items, "item_id")
-    # the item's word j stands beside the text's word first_word + j
-    shift = F.col("first_word") - F.col("begin")
-    agree = F.transform("item", lambda x, j: ((shift + j >= 0) & F.coalesce(F.get("around", F.greatest(shift + j, F.lit(0))) == x, F.lit(False))).cast("int"))
-    laid = near.select("doc_id", "item_id", "first_word", agree.alias("agree"))
-    n_window = F.least(F.size("agree"), F.lit(WINDOW))
-    sums = F.transform(F.sequence(F.lit(1), F.size("agree") - n_window + 1), lambda s: F.aggregate(F.slice("agree", s, n_window), F.lit(0), lambda a, x: a + x))
-    scored = laid.select("doc_id", "item_id", "first_word", n_window.alias("n_window"), F.array_max(sums).alias("n_matched"))
+    # the text's words that stand beside the item's, without those that the text hasn't: one row for all hits of a diagonal
+    skipped = F.greatest(-F.col("first_word"), F.lit(0))
+    beside = F.slice("around", F.greatest(F.col("first_word") - F.col("begin"), F.lit(0)) + 1, F.col("n_item") - skipped)
+    laid = near.select("doc_id", "item_id", "first_word", skipped.alias("skipped"), beside.alias("beside")).distinct()
+    laid = laid.join(F.broadcast(items) if small else items, "item_id")
+    agree = F.zip_with("beside", F.slice("item", F.col("skipped") + 1, F.size("beside")), lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
+    laid = laid.select("doc_id", "item_id", "first_word", F.least(F.size("item"), F.lit(WINDOW)).alias("n_window"), agree.alias("agree"))
+    width = F.least("n_window", F.size("agree"))
+    sums = F.transform(F.sequence(F.lit(1), F.size("agree") - width + 1), lambda s: F.aggregate(F.slice("agree", s, width), F.lit(0), lambda a, x: a + x))
+    scored = laid.select("doc_id", "item_id", "first_word", "n_window", F.array_max(sums).alias("n_matched"))
     best = F.max(F.struct("n_matched", (-F.col("first_word")).alias("before"), "n_window"))
     return (
         scored.filter(F.col("n_matched") >= AGREE * F.col("n_window"))
