@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -47,3 +48,14 @@ def ship(spark: SparkSession) -> None:
         for f in sorted((ROOT / "quernlight").rglob("*.py")):
             out.write(f, f.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(target))
+
+
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir), or in a temporary one where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = _SCRATCH.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quernlight-"))
+    return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
