@@ -127,3 +127,13 @@ def test_batches_of_files(spark, tmp_path):
     seen = []
     on_files(spark, str(tmp_path / "in"), "id long", lambda df, n: seen.append(df.count()), str(tmp_path / "checkpoint")).awaitTermination()
     assert sum(seen) == 10
+
+
+def test_prompt(engine, tmp_path, capsys):
+    from quernlight.cli import main
+
+    (tmp_path / "t.csv").write_text("k,v\n1,a\n2,\n")
+    assert main([str(tmp_path / "t.csv")], engine, iter(["SELECT k, v", "FROM t ORDER BY k;", ".tables", ".exit", "SELECT x;"])) == 0
+    assert "k | v\n- | ----\n1 | a\n2 | NULL\n(2 rows)" in capsys.readouterr().out
+    assert main(["-e", "SELECT nothing FROM t"], engine) == 1
+    assert main(["-e", "EXPLAIN SELECT 1 AS x"], engine) == 0 and "Physical Plan" in capsys.readouterr().out

@@ -154,3 +154,14 @@ def test_both_copies_of_shared_names(corpus):
 def test_errors_before_anything_runs(corpus, text):
     with pytest.raises(DialectError):
         corpus[0].sql(text)
+
+
+def test_ranks_without_an_order(corpus):
+    engine, _ = corpus
+    assert sorted(values(engine, "SELECT ROW_NUMBER() OVER () AS N, RANK() OVER (PARTITION BY K) AS R FROM T")) == [(i, 1) for i in range(1, 7)]
+
+
+def test_tables_named_as_columns(corpus):
+    engine, _ = corpus
+    engine.register_table("K", [{"K": 1, "D": {"x": 1}}])
+    assert values(engine, "SELECT K.K FROM K WHERE K.K = 1 AND EXISTS (SELECT 1 FROM T K2 WHERE K2.V = K.K)") == [(1,)]
