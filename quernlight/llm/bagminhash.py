@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Times run to (log m + EXTRA) / weight at first; of texts e^-EXTRA need more.
+EXTRA = 2.0
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -85,39 +87,40 @@ def signatures(h: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: int
     seed = mix(h[rep] + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     owner, limit = text[rep], (weight[rep] - low) / size
     total = np.bincount(text, weight, n_texts)
-    until = (np.log(m) + 4) / np.maximum(total, 1)
+    until = (np.log(m) + EXTRA) / np.maximum(total, 1)
     step = 1.0 / (m * size)
-
-    def point(p: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = mix(seed[p] + n * _GOLD)
-        return z, t - np.log(((z >> np.uint64(32)) + 0.5) / 4294967296.0) * step[p]
-
-    p = np.arange(len(seed))
-    n = np.ones(len(p), np.uint64)
-    z, t = point(p, n, np.zeros(len(p)))
+    at = np.zeros(len(seed))
+    done = np.zeros(len(seed), np.int64)  # points drawn so far
+    live = np.arange(len(seed))
     while True:
         parked = []
-        while len(p):
-            now = t <= until[owner[p]]
-            if not now.all():
-                parked.append((p[~now], n[~now], z[~now], t[~now]))
-                p, n, z, t = p[now], n[now], z[now], t[now]
-                if not len(p):
-                    break
-            place = (mix(z ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(11)) / 9007199254740992.0
-            got = place < limit[p]
-            component = (z & np.uint64(0xFFFFFFFF)) % np.uint64(m)
-            np.minimum.at(times, owner[p][got] * m + component[got].astype(np.int64), t[got])
-            n = n + np.uint64(1)
-            z, t = point(p, n, t)
+        # those that are alive have drawn equally many points, or are few
+        alive = (seed[live], owner[live], step[live], limit[live], at[live], done[live], live)
+        while len(alive[6]):
+            s, o, d, w, t, n, k = alive
+            n = n + 1
+            z = mix(s + n.astype(np.uint64) * _GOLD)
+            t = t - np.log(((z >> np.uint64(32)) + 0.5) / 4294967296.0) * d
+            now = t <= until[o]
+            late = ~now
+            parked.append(k[late])
+            s, o, d, w, t, n, k, z = (x[now] for x in (s, o, d, w, t, n, k, z))
+            slot, when = o * m + ((z & np.uint64(0xFFFFFFFF)) % np.uint64(m)).astype(np.int64), t
+            if (part := w < 1).any():
+                place = (mix(z[part] ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(11)) / 9007199254740992.0
+                inside = ~part
+                inside[part] = place < w[part]
+                slot, when = slot[inside], when[inside]
+            np.minimum.at(times, slot, when)
+            at[k], done[k] = t, n
+            alive = (s, o, d, w, t, n, k)
         open_ = np.isinf(times.reshape(n_texts, m)).any(1) & (total > 0)
         if not open_.any():
             return times.reshape(n_texts, m)
+        # texts that aren't full get more time; a parked process draws its late point again
         until[open_] *= 1.5
-        p, n, z, t = (np.concatenate(x) for x in zip(*parked))
-        # texts that are full are done
-        left = open_[owner[p]]
-        p, n, z, t = p[left], n[left], z[left], t[left]
+        live = np.concatenate(parked)
+        live = live[open_[owner[live]]]
 
 
 def bands(times: np.ndarray, rows: int) -> np.ndarray:
@@ -130,12 +133,6 @@ def bands(times: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def one_bits(times: np.ndarray) -> np.ndarray:
-    """One bit of each component, packed into 64-bit words."""
-    bit = (mix(times.view(np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bit, axis=1, bitorder="little").view("<i8")
-
-
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets as (ordered hashes, numbers)."""
     (ha, na), (hb, nb) = a, b
@@ -144,3 +141,33 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     low = int(np.minimum(na[same], nb[at[same]]).sum())
     high = int(na.sum() + nb.sum()) - low
     return low / high if high else 1.0
+
+
+def similarities(h: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: int, columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs of n_texts texts, exactly.
+
+    The sum of minima is a sum over thresholds of products of 0-1 matrices; only elements of two texts or more are
+    multiplied, so the diagonal means nothing.
+    """
+    total = np.bincount(text, weight, n_texts)
+    order = np.argsort(h, kind="stable")
+    h, text, weight = h[order], text[order], weight[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1 if len(h) else new
+    column, text, weight = column[shared], text[shared], weight[shared]
+    low, last = np.zeros((n_texts, n_texts), np.float32), 0
+    while len(column):
+        level = int(weight.min())
+        used, place = np.unique(column, return_inverse=True)
+        for a in range(0, len(used), columns):
+            part = (place >= a) & (place < a + columns)
+            ones = np.zeros((n_texts, min(columns, len(used) - a)), np.float32)
+            ones[text[part], place[part] - a] = 1
+            low += np.float32(level - last) * (ones @ ones.T)
+        last = level
+        more = weight > level
+        column, text, weight = column[more], text[more], weight[more]
+    high = total[:, None] + total[None, :] - low
+    return np.where(high > 0, low / np.maximum(high, 1), 1.0)

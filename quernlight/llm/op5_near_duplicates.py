@@ -5,11 +5,11 @@ numbers. Texts of the same words in the same order are one node from the start.
 are candidates, and linked if the weighted Jaccard similarity of the whole multisets is at least THRESHOLD; classes are
 the components of the links. 32 bands of 6 rows miss a pair at 0.8 with probability 6e-5, at 0.85 with 2e-7.
 
-Two rounds keep large groups from all being compared with all: first each node is verified against the smallest of its
-buckets' smallest members; then, where a bucket still holds more than one component, its nodes outside the smallest
-member's component are compared with all nodes of other components there, if one-bit signatures don't rule the pair out
-(five standard deviations below the threshold). Nothing is capped: any pair that shares a band is in one component
-after the first round, or verified in the second, or ruled out.
+Two rounds keep large groups from being written out as pairs. First each node is verified against one node, the most
+central of its buckets' most central members (central: much of its buckets' company). Then every bucket that still holds
+more than one component is verified whole: its members are dealt into blocks of bounded size, each pair of blocks goes
+to a task, which computes all similarities of the two at once and returns no more links than join its components.
+Nothing is capped: any pair that shares a band ends in one component, or has been verified and found less alike.
 
 Nulls: a null text is an empty one. Texts of fewer than eight words have too few elements to differ and reach 0.8, so
 they are alike only if their words are the same; texts without words, if they are equal. Repeated rows and ids are
@@ -34,6 +34,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Bytes of text that are signed in one go.
 AT_ONCE = 1 << 22
+#: Members and bytes of words of a block, about; a task holds two blocks.
+BLOCK_MEMBERS, BLOCK_BYTES = 1024, 8 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -41,9 +43,12 @@ def words_of(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def node_of(text: Column) -> Column:
-    words = words_of(text)
-    return F.xxhash64(F.md5(F.when(words == "", F.concat(F.lit("\0"), F.coalesce(text, F.lit("")))).otherwise(words)))
+def split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, raw (hash of the text as it is), words and node of every row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("raw"), text.alias("text")).withColumn("words", words_of(F.col("text")))
+    own = F.when(F.col("words") == "", F.concat(F.lit("\0"), F.col("text"))).otherwise(F.col("words"))
+    return rows.withColumn("node", F.xxhash64(F.md5(own))).drop("text")
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -57,46 +62,47 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         a = b
 
 
-def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """docs: doc_id, node, words. With bands and bits, null where a text has too few elements."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def sign(rows: DataFrame, bands: int = BANDS, size: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+    """rows: as split() gives them. doc_id, raw, node, bands (null where a text has too few elements) and size in bytes."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
     # fewer elements than this can't be alike at the threshold without being the same
     least = 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, bounds in _texts(batch.column(2)):
+            for a, b, data, bounds in _texts(batch.column(3)):
                 h, text, weight = bagminhash.shingles(*bagminhash.word_hashes(data, bounds), shingle)
                 enough = np.bincount(text, weight, b - a) >= least
                 use = enough[text]
                 number = np.cumsum(enough) - 1
-                times = bagminhash.signatures(h[use], number[text[use]], weight[use], int(enough.sum()), bands * rows)
-                lists = []
-                for made in (bagminhash.bands(times, rows), bagminhash.one_bits(times)):
-                    ends = np.concatenate([[0], np.cumsum(enough)]) * made.shape[1]
-                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made.ravel()), mask=pa.array(~enough)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *lists], ["doc_id", "node", "bands", "bits"])
+                keys = bagminhash.bands(bagminhash.signatures(h[use], number[text[use]], weight[use], int(enough.sum()), bands * size), size)
+                ends = np.concatenate([[0], np.cumsum(enough)]) * bands
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()), mask=pa.array(~enough))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(3)), lists, pa.array(np.diff(bounds))], ["doc_id", "raw", "node", "bands", "size"])
 
-    return docs.select("doc_id", "node", "words").mapInArrow(run, f"doc_id {kind}, node long, bands array<long>, bits array<long>")
+    return rows.select("doc_id", "raw", "node", "words").mapInArrow(run, f"doc_id {kind}, raw long, node long, bands array<long>, size long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b: nodes) whose multisets are at least that similar. docs: node, words."""
-    pairs = stored(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    bits = bitmap_bits(2 * pairs.count(), 16)
-    # the bitmap keeps the texts of other nodes, all but a few, out of the exchange
-    texts = docs.filter(in_bitmap(bitmap(nodes, bits), F.col("node"), bits)).join(nodes, "node", "left_semi")
-    texts = stored(texts.groupBy("node").agg(F.first("words").alias("words")), "texts")
+def words_of_nodes(nodes: DataFrame, n: int, signed: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """node and words of the given nodes (about n of them). Other texts, all but a few, stay out of the exchange."""
+    raws = signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("raw").alias("raw")).select("raw")
+    bits = bitmap_bits(n, 16)
+    likely = docs.select(text_col).filter(in_bitmap(bitmap(raws, bits), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), bits))
+    found = split(likely.withColumn("__id", F.lit(0)), "__id", text_col)
+    return stored(found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "words")
+
+
+def verify(pairs: DataFrame, words: DataFrame, threshold: float, shingle: int = SHINGLE) -> DataFrame:
+    """The pairs (a, b: nodes) whose multisets are at least that similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def multiset(node: int, words: str) -> tuple[np.ndarray, np.ndarray]:
+        def multiset(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
             if node not in last:
                 if len(last) >= 4:
                     last.pop(next(iter(last)))
-                raw = words.encode()
+                raw = text.encode()
                 h, _, n = bagminhash.shingles(*bagminhash.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), shingle)
                 last[node] = (h, n)
             return last[node]
@@ -107,40 +113,101 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, shingle: int = S
                 alike.append(bagminhash.similarity(multiset(a.as_py(), left.as_py()), multiset(b.as_py(), right.as_py())) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("words").alias("right")), "b")
+    joined = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("left")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("right")), "b")
     return stored(joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "links")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node, class (its smallest node) of every row of docs."""
-    split = docs.select(F.col(id_col).alias("doc_id"), node_of(F.col(text_col)).alias("node"), words_of(F.col(text_col)).alias("words"))
-    signed = stored(sign(split, bands, rows), "signed")
-    unique = signed.filter("bands IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    keys = unique.select("node", F.explode("bands").alias("band"))
-    buckets = keys.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader")
-    members = stored(keys.join(buckets, "band"), "members")
+def _joined(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of links (a, b: members) that join components, each component counting as joined from the start."""
+    names, group = np.unique(roots, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(group[a].tolist(), group[b].tolist())):
+        if (x := top(x)) != (y := top(y)):
+            parent[x] = y
+            kept.append(k)
+    return kept
+
+
+def verify_buckets(members: DataFrame, threshold: float, shingle: int = SHINGLE) -> DataFrame:
+    """members: band, node, root, size, words. Links (a, b) that join the components within each bucket."""
+    sizes = members.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "band").withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    pairs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = pairs.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "words")
+
+    def links(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """rows: own, node, root, words of one pair of blocks."""
+        own, node, root = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        raw = [r[3].encode() for r in rows]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        s = bagminhash.similarities(*bagminhash.shingles(*bagminhash.word_hashes(np.frombuffer(b"".join(raw), np.uint8), bounds), shingle), len(rows))
+        alike = (s >= threshold - 1e-9) & (root[:, None] != root[None, :])
+        a, b = np.nonzero(np.triu(alike, 1))
+        kept = _joined(root, a, b)
+        return node[a[kept]], node[b[kept]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], ([], [])
 
-    first = members.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
-    links = verify(first, split, threshold)
+        def close():
+            if len({r[2] for r in rows}) > 1:
+                for o, x in zip(out, links(rows)):
+                    o.append(x)
+            rows.clear()
+
+        def packed():
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *o])) for o in out], ["a", "b"])
+            for o in out:
+                o.clear()
+            return made
+
+        for batch in batches:
+            for band, i, j, own, node, root, words in zip(*(batch.column(c).to_pylist() for c in range(7))):
+                if (band, i, j) != key:
+                    close()
+                    key = (band, i, j)
+                rows.append((own, node, root, words))
+            yield packed()
+        close()
+        yield packed()
+
+    return stored(keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long"), "links")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, size: int = ROWS) -> DataFrame:
+    """doc_id, raw, node, class (a node of it) of every row of docs."""
+    signed = stored(sign(split(docs, id_col, text_col), bands, size), "signed")
+    keys = signed.filter("bands IS NOT NULL").select("node", "size", F.explode("bands").alias("band"))
+    shared = stored(keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band"), "shared")
+    bits = bitmap_bits(shared.count(), 16)
+    members = stored(keys.filter(in_bitmap(bitmap(shared, bits), F.col("band"), bits)).join(shared, "band", "left_semi").groupBy("band", "node").agg(F.max("size").alias("size")), "members")
+
+    company = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    central = members.join(company, "band").groupBy("node").agg(F.sum("n").alias("company"))
+    placed = members.join(central, "node")
+    leaders = placed.groupBy("band").agg(F.max(F.struct("company", "node")).alias("leader"))
+    first = placed.join(leaders, "band").filter("node <> leader.node").groupBy("node").agg(F.max("leader").alias("leader"))
+    pairs = stored(first.select(F.col("leader.node").alias("a"), F.col("node").alias("b")), "pairs")
+    nodes = members.select("node").distinct()
+    words = words_of_nodes(nodes, nodes.count(), signed, docs, text_col)
+    links = verify(pairs, words, threshold)
     roots = components(links)
 
     # buckets that still hold more than one component
-    known = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("band").agg(F.min(F.struct("node", "root")).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", F.col("leader.root").alias("main"))
-    open_ = known.join(mixed, "band").join(unique.select("node", "bits"), "node")
-    open_ = stored(open_, "open")
-    if not open_.isEmpty():
-        words = bands * rows // 64
-        least = max(0.0, threshold - 5 * 2 * ((1 + threshold) / 2 * (1 - threshold) / 2 / (64 * words)) ** 0.5)
-        side = lambda df, s: df.select(F.col("band"), F.col("node").alias(f"node{s}"), F.col("root").alias(f"root{s}"), *[F.get("bits", F.lit(i)).alias(f"bit{s}{i}") for i in range(words)])
-        differ = sum((F.bit_count(F.col(f"bit1{i}").bitwiseXOR(F.col(f"bit2{i}"))) for i in range(words)), F.lit(0))
-        likely = (F.col("root1") != F.col("root2")) & (1 - 2 * differ / F.lit(64.0 * words) >= least)
-        pairs = side(open_.filter("root <> main"), 1).join(side(open_, 2), "band").filter(likely)
-        second = pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-        more = verify(second.join(first, ["a", "b"], "left_anti"), split, threshold)
-        if not more.isEmpty():
-            roots = components(links.unionAll(more))
-    return signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("class"))
+    known = members.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
+    mixed = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+    more = verify_buckets(known.join(mixed, "band").join(words, "node"), threshold)
+    if not more.isEmpty():
+        roots = components(links.unionAll(more))
+    return signed.select("doc_id", "raw", "node").join(roots, "node", "left").select("doc_id", "raw", "node", F.coalesce("root", "node").alias("class"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -151,12 +218,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class: that of the smallest doc_id (and node, among equal ids)."""
+    """One row of each class: that of the smallest doc_id (and hash of its text, among equal ids)."""
     found = classes(docs, id_col, text_col, threshold)
-    kept = found.groupBy("class").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__kept"))
-    rows = docs.withColumn("__node", node_of(F.col(text_col)))
-    same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__node"] == kept["__kept"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__node"]).drop("__node")
+    kept = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.raw").alias("__kept"))
+    rows = docs.withColumn("__raw", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__raw"] == kept["__kept"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__raw"]).drop("__raw")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
