@@ -101,3 +101,26 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "d
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def oracle(phrases=PHRASES, templates=TEMPLATES) -> str:
+    """The same by DuckDB: runs by their words, every place of every document."""
+    values = ", ".join(f"({t}, '{words}', '{label}', {t < len(phrases)})" for t, (words, label) in enumerate([*phrases, *templates]))
+    run = "w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]"
+    labels = "array_to_string(list_sort(list_distinct(list(CASE WHEN {} THEN label END))), ',')"
+    return f"""
+WITH t AS (SELECT *, string_split(words, ' ') AS w FROM (VALUES {values}) v(template, words, label, is_phrase)),
+runs AS (SELECT template, label, is_phrase, len(w) - 2 AS n_runs, i - 1 AS place_of, {run} AS run FROM t, unnest(range(1, len(w) - 1)) u(i)),
+d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS pos, {run} AS run FROM d, unnest(range(1, len(w) - 1)) u(i)),
+diagonals AS (SELECT doc_id, template, label, is_phrase, n_runs, pos - place_of AS diagonal, list(DISTINCT place_of) AS ats, min(pos) AS first, max(pos) AS last FROM g JOIN runs USING (run) GROUP BY doc_id, template, label, is_phrase, n_runs, pos - place_of),
+parted AS (SELECT *, is_phrase AND len(ats) = n_runs AS place, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {GAP} THEN 1 ELSE 0 END AS apart FROM diagonals),
+spans AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM parted),
+merged AS (SELECT doc_id, label, is_phrase, n_runs, len(list_distinct(flatten(list(ats)))) AS covered, max(last) - min(first) + 1 AS reach, count(*) FILTER (WHERE place) AS places,
+                  min(diagonal) FILTER (WHERE place) AS first, max(diagonal) FILTER (WHERE place) AS last FROM spans GROUP BY doc_id, template, label, is_phrase, n_runs, span),
+held AS (SELECT *, least(covered / n_runs, 1.0) AS share, CASE WHEN is_phrase THEN places > 0 ELSE covered / n_runs >= {COVERAGE} AND reach <= n_runs * {STRETCH} END AS held FROM merged)
+SELECT d.doc_id, any_value(len(d.w)) AS n_words, CAST(coalesce(sum(places), 0) AS BIGINT) AS n_base, min(first) AS first_word, max(last) AS last_word,
+       coalesce({labels.format("places > 0")}, '') AS base_labels, coalesce({labels.format("held")}, '') AS labels,
+       CAST(coalesce(max(share) FILTER (WHERE held), 0) AS DOUBLE) AS score
+FROM d LEFT JOIN held USING (doc_id) GROUP BY d.doc_id
+"""

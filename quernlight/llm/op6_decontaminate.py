@@ -89,3 +89,21 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def oracle() -> str:
+    """The same by DuckDB: seeds by their words, every place of every document, and each diagonal laid out in full."""
+    words = f"list_filter(string_split_regex(lower(coalesce(text, '')), '{SEPARATORS}'), lambda x: x <> '')"
+    seeds = " UNION ALL ".join(f"SELECT {{key}}, {{w}}, i - 1 AS at, '{m} ' || " + " || ' ' || ".join(f"{{w}}[i + {j}]" for j, on in enumerate(mask) if on == "1") + f" AS seed FROM {{source}}, unnest(range(1, len({{w}}) - {SPAN - 2})) u(i)" for m, mask in enumerate(MASKS))
+    return f"""
+WITH items AS (SELECT DISTINCT item_id, {words} AS item FROM benchmark),
+d AS (SELECT doc_id, {words} AS w FROM documents),
+item_seeds AS ({seeds.format(key="item_id", w="item", source="items")}),
+text_seeds AS ({seeds.format(key="doc_id", w="w", source="d")}),
+laid AS (SELECT DISTINCT doc_id, item_id, t.at - s.at AS first_word, item, w FROM text_seeds t JOIN item_seeds s USING (seed)),
+agreed AS (SELECT doc_id, item_id, first_word, least(len(item), {WINDOW}) AS n_window,
+                  list_transform(range(len(item)), lambda j: CASE WHEN first_word + j >= 0 AND first_word + j < len(w) AND w[first_word + j + 1] = item[j + 1] THEN 1 ELSE 0 END) AS agree FROM laid),
+scored AS (SELECT doc_id, item_id, first_word, n_window, list_max(list_transform(range(len(agree) - n_window + 1), lambda s: list_sum(agree[s + 1 : s + n_window]))) AS n_matched FROM agreed)
+SELECT doc_id, item_id, CAST(n_matched AS BIGINT) AS n_matched, n_window, first_word FROM scored WHERE n_matched >= {AGREE} * n_window
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, first_word) = 1
+"""

@@ -27,4 +27,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": op2_url_filter.ORACLE,
+    "op6_decontaminate": op6_decontaminate.oracle(),
+    "op10_license_scan": op10_license_scan.oracle(),
 }
