@@ -97,6 +97,12 @@ class Engine:
         self.spark.udf.register(spark_name, made)
         self.functions[name.upper()] = (spark_name, kind, arity)
 
+    def analyze(self, name: str) -> None:
+        """Statistics of a table that CREATE TABLE AS wrote, for the optimizer's cardinalities and join order."""
+        e = self.catalog.entry(name)
+        if e.managed:
+            self.spark.sql(f"ANALYZE TABLE {e.view} COMPUTE STATISTICS FOR ALL COLUMNS")
+
     def build_indexes(self) -> None:
         """Nothing to build: Parquet's row-group statistics and bucketing take the place of indexes."""
 

@@ -33,3 +33,14 @@ def profile(df: DataFrame, columns: list[str], buckets: int = 64, top: int = 10)
 
 def correlation(df: DataFrame, a: str, b: str) -> float | None:
     return df.agg(F.corr(a, b)).first()[0]
+
+
+def fixed_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n rows, each set of n as likely as any other; the same for the same rows and seed. Each task sends n rows at most."""
+    order = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+    return df.withColumn("__order", order).orderBy("__order").limit(n).drop("__order")
+
+
+def heavy_hitters(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The n most frequent values of a column and their numbers, exactly, ties by value."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col(column).asc_nulls_last()).limit(n)

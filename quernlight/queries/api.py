@@ -204,6 +204,18 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.profile(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderstatus"]).select("name", "n_rows", "n_null", "low", "high")
 
 
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 5")
+def heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.heavy_hitters(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey", 5)
+
+
+@query("SELECT CAST(40 AS BIGINT) AS n, TRUE AS inside")
+def fixed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    kept = sketches.fixed_sample(orders, 40, seed=3)
+    return kept.join(orders.distinct(), "o_orderkey", "left_semi").agg(F.count("*").alias("n"), (F.count("*") == 40).alias("inside"))
+
+
 @query("SELECT TRUE AS planned, CAST(5 AS BIGINT) AS n")
 def explain_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine_over(spark, sf_dir, ["region"])
