@@ -1,0 +1,123 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from fixtures import ODD, sentence
+from tokenizers import Tokenizer
+
+from quernlight.llm import dac, op1_token_counts, op3_token_store, op4_byte_bpe
+from quernlight.llm.common import shared_path
+
+WORDS, RANKS, BYTES = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
+TEXTS = [None, "", *ODD, sentence(1), sentence(1), "x" * 30_000, " ".join(["word"] * 30_000)]
+
+
+@pytest.fixture(scope="module")
+def reference():
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=op4_byte_bpe.read_ranks(RANKS), special_tokens={})
+
+
+def noise(alphabet: str, n: int, seed: int = 0):
+    r = random.Random(seed)
+    return ["".join(r.choice(alphabet) for _ in range(r.randint(1, 40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("width", [8, 16])
+@pytest.mark.parametrize("top", [1, 200, 70_000, 2**32])
+def test_any_code_is_read_alone(width, top):
+    ids = np.random.default_rng(top).integers(0, top, 3000).astype(np.uint32)
+    reader = dac.Reader(dac.pack(ids, width))
+    assert [reader[i] for i in range(0, 3000, 7)] == ids[::7].tolist()
+    for a, b in ((0, 0), (0, 3000), (511, 513), (1, 2), (700, 2900)):
+        assert (reader.slice(a, b) == ids[a:b]).all()
+    assert len(dac.Reader(dac.pack(ids[:0], width))) == 0
+    with pytest.raises(IndexError):
+        reader[3000]
+
+
+def test_words_as_the_library_encodes_them():
+    whole, encode = Tokenizer.from_file(WORDS), op3_token_store.word_encoder(WORDS)
+    for text in [t or "" for t in TEXTS] + noise("abS'ts!?.,-_ \n\t01éñœ—…Σ日😀\x1c\x85\x00́İ<|²½", 3000):
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:60]
+
+
+def test_store_gives_back_every_document_in_order(spark, docs_of):
+    docs = docs_of([(None, "no id"), *((i * 7 % 50, t) for i, t in enumerate(TEXTS)), (3, "twice"), (3, "again")])
+    path = shared_path(spark, "test-store")
+    op3_token_store.write_store(docs.repartition(5), path, WORDS, container_ids=500)
+    rows = sorted(op3_token_store.read_store(spark, path, with_ids=True).collect(), key=lambda r: r["start"])
+    expected = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    encode, start = op3_token_store.word_encoder(WORDS), 0
+    assert len(rows) == len(expected)
+    for r, (key, text) in zip(rows, expected):
+        ids = [*np.frombuffer(encode(text), "<u4").tolist(), 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (key, start, len(ids), ids)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+    flat = [i for r in rows for i in r["ids"]]
+    assert [op3_token_store.read_token(spark, path, k) for k in (0, 17, len(flat) - 1)] == [flat[0], flat[17], flat[-1]]
+
+
+def test_store_of_nothing(spark, docs_of):
+    path = shared_path(spark, "test-store")
+    op3_token_store.write_store(docs_of([]), path, WORDS)
+    assert op3_token_store.read_store(spark, path).count() == 0
+
+
+def test_bytes_as_the_library_encodes_them(reference):
+    c = op4_byte_bpe.codec(RANKS, P.PATTERN)
+    for text in [t or "" for t in TEXTS] + noise("aab  \n\t-=_.é日😀1\x1c\x85'sSœ²½,;!'t’", 4000) + [random.Random(i).choice(" -=a.1_") * (i % 90) + "x" for i in range(500)]:
+        ids = c.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text), text[:60]
+        assert c.decode(ids) == text.encode()
+
+
+def test_offsets_cover_split_characters():
+    c = op4_byte_bpe.codec(RANKS, P.PATTERN)
+    text = "a日本😀 naïve"
+    first, end = c.offsets(text, c.encode(text))
+    assert first[0] == 0 and end[-1] == len(text) and (end > first).all() and (np.diff(first) >= 0).all()
+
+
+def test_round_trip(docs_of, reference):
+    docs = docs_of(TEXTS)
+    coded = op4_byte_bpe.encode(docs, RANKS)
+    texts = {r["doc_id"]: r["text"] for r in op4_byte_bpe.decode(coded, RANKS).collect()}
+    for r in op4_byte_bpe.round_trip(docs, RANKS, with_ids=True).collect():
+        text = TEXTS[r["doc_id"]] or ""
+        ids = np.array(reference.encode_ordinary(text), "<u4").tobytes()
+        assert (r["n_tokens"], r["ids_sha256"], bytes(r["token_ids"])) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), ids)
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and texts[r["doc_id"]] == text
+    assert op4_byte_bpe.round_trip(docs_of([]), RANKS).count() == 0
+
+
+@pytest.mark.parametrize("rule", op1_token_counts.RULES)
+def test_tokens_of_sections(docs_of, rule):
+    texts = ["", None, "one\n\n\n two\nthree  \n", "日本😀\n😀", sentence(2), "a\n" * 50, "tail \n\n\n\n\n"]
+    tokenizer = Tokenizer.from_file(BYTES)
+    tokenizer.encode_special_tokens = True
+    rows = op1_token_counts.token_counts(docs_of(texts), BYTES, rule=rule).collect()
+    for i, text in enumerate(texts):
+        text, got = text or "", sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["section"])
+        spans, starts = tokenizer.encode(text, add_special_tokens=False).offsets, [0, *(k + 1 for k, c in enumerate(text) if c == "\n")]
+        ends = [*starts[1:], len(text)]
+        expected = [0.0] * len(starts)
+        for a, b in spans:
+            shares = [max(0, min(b, e) - max(a, s)) for s, e in zip(starts, ends)]
+            if rule == "first":
+                expected[max(k for k, s in enumerate(starts) if s <= a)] += 1
+            elif rule == "most":
+                expected[shares.index(max(shares))] += 1
+            else:
+                expected = [x + s / sum(shares) for x, s in zip(expected, shares)]
+        assert [r["n_tokens"] for r in got] == pytest.approx(expected) and [r["first_char"] for r in got] == starts
+        assert sum(r["n_tokens"] for r in got) == pytest.approx(len(spans)) and all(r["doc_tokens"] == len(spans) for r in got)
+
+
+def test_fields_are_sections(docs_of):
+    rows = op1_token_counts.token_counts(docs_of(["some text here"]), BYTES, fields=("lang", "source", "text"), by_line=False).collect()
+    assert [r["field"] for r in rows] == ["lang", "source", "text"] and rows[1]["end_char"] - rows[1]["first_char"] == 2
