@@ -14,6 +14,8 @@ import numpy as np
 
 #: Times run to (log m + EXTRA) / weight at first; of texts e^-EXTRA need more.
 EXTRA = 2.0
+#: Bytes of text that are hashed in one go, about.
+SEGMENT = 1 << 19
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -28,7 +30,7 @@ def mix(z: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["up"]) < n:
         for name, base in (("up", _GOLD), ("down", _INVERSE)):
-            steps = np.full(2 * n, base, np.uint64)
+            steps = np.full(max(n, 1 << 16), base, np.uint64)
             steps[0] = 1
             _POWERS[name] = np.multiply.accumulate(steps)
     return _POWERS["up"][:n], _POWERS["down"][:n]
@@ -41,6 +43,21 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(data) > 2 * SEGMENT:  # parts that end at a blank, so that memory doesn't follow the longest text
+        parts, a = [], 0
+        while a < len(data):
+            blanks = np.flatnonzero(data[a + SEGMENT :] == 32) if len(data) - a <= 3 * SEGMENT else np.flatnonzero(data[a + SEGMENT : a + 2 * SEGMENT] == 32)
+            b = a + SEGMENT + int(blanks[0]) if len(blanks) else len(data)
+            inside = bounds[(bounds > a) & (bounds < b)]
+            h, owner = word_hashes_of(data[a:b], np.concatenate([[0], inside - a, [b - a]]))
+            first = int(np.searchsorted(bounds, a, "right")) - 1
+            parts.append((h, owner + first))
+            a = b + 1  # the blank belongs to no word
+        return tuple(np.concatenate(x) for x in zip(*parts))
+    return word_hashes_of(data, bounds)
+
+
+def word_hashes_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(data))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up)])
     blank = data == 32

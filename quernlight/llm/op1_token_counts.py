@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .op3_token_store import Memo
 from .op4_byte_bpe import _CUT
 
@@ -93,6 +93,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", f
     """doc_id, section, field, first_char, end_char, n_tokens (double under "share"), n_crossing, doc_tokens."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     count = pa.float64() if rule == "share" else pa.int64()
 

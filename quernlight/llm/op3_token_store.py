@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import dac
-from .common import shared_path, table
+from .common import shared_path, small_batches, table
 
 CONTAINER_IDS = 1 << 20
 #: Chunks longer than this are encoded without being remembered; at most MEMO chunks are remembered by a worker.
@@ -78,6 +78,7 @@ STORE = "shard int, seq int, base long, n_ids long, doc_ids array<long>, lengths
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, container_ids: int = CONTAINER_IDS) -> None:
+    small_batches(docs.sparkSession)
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

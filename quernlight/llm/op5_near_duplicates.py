@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash
-from .common import bitmap, bitmap_bits, in_bitmap, stored, table
+from .common import bitmap, bitmap_bits, in_bitmap, small_batches, stored, table
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Bytes of text that are signed in one go.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 19
 #: Members and bytes of words of a block, about; a task holds two blocks.
 BLOCK_MEMBERS, BLOCK_BYTES = 1024, 8 << 20
 
@@ -53,6 +53,8 @@ def split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """first, end, bytes and bounds of parts of a string column."""
+    if not len(column):
+        return
     offsets = np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_string(column.type) else np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     a = 0
@@ -184,6 +186,7 @@ def verify_buckets(members: DataFrame, threshold: float, shingle: int = SHINGLE)
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, size: int = ROWS) -> DataFrame:
     """doc_id, raw, node, class (a node of it) of every row of docs."""
+    small_batches(docs.sparkSession)
     signed = stored(sign(split(docs, id_col, text_col), bands, size), "signed")
     keys = signed.filter("bands IS NOT NULL").select("node", "size", F.explode("bands").alias("band"))
     shared = stored(keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band"), "shared")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .lcs import common
 from .op2_url_filter import host_and_path
 
@@ -169,6 +169,7 @@ def _nearest(path: str, before, after):
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    small_batches(pages.sparkSession)
     id_kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
