@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 SIZES, BITS, FEATURES = (3, 4, 5), 22, 16_384
 #: Features count whose shares under the two labels lie so many standard errors apart, the furthest FEATURES of them.
 APART = 3.25
-MAX_PER_LABEL, THRESHOLD = 4_000, 0.3
+MAX_PER_LABEL, THRESHOLD = 1_500, 0.3
 #: Characters of texts that are looked at in one go; a longer text has a go of its own.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -205,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, **names) -> Model:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted; or, with keep, the rows of docs that aren't predicted, as they were."""
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
