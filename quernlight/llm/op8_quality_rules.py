@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
-TREES, SUBSAMPLE, SEED = 200, 256, 20_240_229
+TREES, SUBSAMPLE, SEED = 200, 128, 20_240_229
 MAX_LABELLED, LOSS = 20_000, 0.005
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\v\f\r"
@@ -172,6 +172,7 @@ def _features_of(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MAX_LABELLED) -> Forest:
+    small_batches(docs.sparkSession)
     key = F.col(id_col).cast("long")
     known = labels.filter(F.col(label_col).isin(0, 1) & key.isNotNull()).select(key.alias("labelled"), (F.col(label_col) == 1).alias("good"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("labelled"), "labelled", "good").limit(most))  # `most` ids at most
@@ -187,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def rate(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Counts and verdicts of every document; or, with keep, the rows of docs that are kept, as they were."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     kind = docs.schema[id_col].dataType.simpleString()
 
