@@ -42,16 +42,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage at files that outlive any executor."""
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.stored_path = path
+    return made
 
 
-def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
-    """Remove the files behind frames that stored() made, once nothing reads them any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def drop_stored(*frames: DataFrame) -> None:
+    """Remove the files of tables that stored() made, once nothing reads them any more."""
     for frame in frames:
-        for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(col: Column) -> Column:

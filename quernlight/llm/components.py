@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 
 def _mapped(df: DataFrame, column: str, parents: DataFrame) -> DataFrame:
@@ -20,19 +20,20 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points every node at its smallest neighbour (or itself), follows the pointers twice, and contracts the
     edges to what they point at; a component of n nodes is done after about log n rounds. Every round is a written table.
     """
-    edges, maps = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"), []
+    edges, maps, used = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"), [], []
+    used.append(edges)
     while not edges.isEmpty():
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select("b", "a"))
         parents = ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent"))
-        parents = stored(parents, "parents")
+        used.append(parents := stored(parents, "parents"))
         for _ in range(2):
-            parents = stored(_mapped(parents, "parent", parents), "parents")
+            used.append(parents := stored(_mapped(parents, "parent", parents), "parents"))
         maps.append(parents)
         left = _mapped(_mapped(edges, "a", parents), "b", parents).filter("a <> b")
-        edges = stored(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = maps[0].select("node", F.col("parent").alias("root"))
+        used.append(edges := stored(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"))
+    roots = maps[0].select("node", F.col("parent").alias("root")) if maps else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for later in maps[1:]:
         roots = _mapped(roots, "root", later)
-    return stored(roots.filter("node <> root"), "roots")
+    roots = stored(roots.filter("node <> root"), "roots")
+    drop_stored(*used)
+    return roots

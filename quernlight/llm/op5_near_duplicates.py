@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash
-from .common import bitmap, bitmap_bits, in_bitmap, small_batches, stored, table
+from .common import bitmap, bitmap_bits, drop_stored, in_bitmap, small_batches, stored, table
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -209,7 +209,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     mixed = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
     more = verify_buckets(known.join(mixed, "band").join(words, "node"), threshold)
     if not more.isEmpty():
+        drop_stored(roots)
         roots = components(links.unionAll(more))
+    drop_stored(shared, members, pairs, words, links, more)
     return signed.select("doc_id", "raw", "node").join(roots, "node", "left").select("doc_id", "raw", "node", F.coalesce("root", "node").alias("class"))
 
 
