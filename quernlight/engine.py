@@ -125,7 +125,8 @@ class Engine:
                 return views[name.upper()], frames[name.upper()].schema()
             return self.catalog.find(name)
 
-        return Translator(find, self.functions, params)
+        known = lambda name, columns: name.upper() not in (frames or {}) and self.catalog.unique(name, columns)
+        return Translator(find, self.functions, params, known)
 
     def sql(self, text: str, params: list | None = None, frames: dict[str, DataFrame] | None = None) -> DataFrame:
         """A query as a lazy frame."""

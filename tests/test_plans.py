@@ -38,3 +38,19 @@ def test_an_unread_outer_join_vanishes(tpch):
 
 def test_exists_is_a_semi_join(tpch):
     assert "LeftSemi" in plan(tpch, "SELECT c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+
+
+def test_keys_spare_distinct_and_outer_joins(spark):
+    from quernlight.engine import Engine
+
+    e = Engine(spark)
+    for name, key in (("orders", ["o_orderkey"]), ("customer", ["c_custkey"])):
+        e.register(name, spark.read.parquet(f"{DATA}/{name}.parquet"), primary_key=key)
+    unread = "SELECT o_orderkey FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c_acctbal > 0.0"
+    assert "Join" not in plan(e, unread) and len(e.run(unread).rows) == len(e.run("SELECT o_orderkey FROM orders").rows)
+    assert "Join" in plan(e, "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+    assert "Join" in plan(e, "SELECT o_orderkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_name IS NULL")
+    assert "Join" in plan(e, "SELECT o_orderkey FROM orders LEFT JOIN customer ON c_nationkey = o_custkey")
+    assert "Join" in plan(e, "SELECT * FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+    assert "Aggregate" not in plan(e, "SELECT DISTINCT O_ORDERKEY, o_custkey FROM orders")
+    assert "Aggregate" in plan(e, "SELECT DISTINCT o_custkey FROM orders")
