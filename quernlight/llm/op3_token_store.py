@@ -35,9 +35,18 @@ LONGEST, MEMO = 48, 600_000
 #: pattern (letters, single digits, runs of other marks, clitics after an apostrophe) cuts at all of these places.
 _LETTERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _FINE = re.compile(rf"[{_LETTERS}]++(?![^\x00-\x7f])|[!-&(-/:-@\[-`{{-~]++(?=[ \t\n\r0-9{_LETTERS}]|\Z)|[0-9]|[^ \t\n\r]+")
+_SINGLE = re.compile(rf"[{_LETTERS}]+|[!-&(-/:-@\[-`{{-~]+|[0-9]")
 _COARSE = re.compile(r"[^ \t\n\r]+")
 
 
+@lru_cache(maxsize=1)
+def byte_characters() -> list[str]:
+    """The character that stands for each byte at byte level: itself where printable, else the next free one from U+0100."""
+    free = iter(range(256, 512))
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
+
+
 class Memo(dict):
     """Encodings of chunks that were seen, up to a bound."""
 
@@ -58,10 +67,14 @@ def word_encoder(path: str):
     """text -> little-endian unsigned 32-bit ids, for the tokenizer file of lower-cased words that end in </w>."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, chars = Tokenizer.from_file(path), byte_characters()
+    single, model = _SINGLE.fullmatch, tokenizer.model
 
     def encode(chunk: str) -> bytes:
-        ids = tokenizer.encode(chunk, add_special_tokens=False).ids
+        if single(chunk):  # normal, lower-case and one match of the pattern: the merges are all that is left to do
+            ids = [t.id for t in model.tokenize(chunk if chunk.isascii() else "".join(chars[b] for b in chunk.encode()))]
+        else:
+            ids = tokenizer.encode(chunk, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     memo = Memo(encode)
