@@ -16,6 +16,7 @@ import re
 import struct
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
-from .op3_token_store import Memo
+from .op3_token_store import Memo, byte_characters
 from .op4_byte_bpe import _CUT
 
+#: ASCII that the pattern matches as one.
+_SINGLE = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+")
 RULES, JOINER, MOST_REMEMBERED = ("first", "most", "share"), "\n\n", 250_000
 
 
@@ -38,8 +41,14 @@ def span_encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+    model, table, single = tokenizer.model, dict(enumerate(byte_characters())), _SINGLE.fullmatch
+
     def encode(cut: str) -> tuple[int, int, bytes, bytes]:
-        spans = tokenizer.encode(cut, add_special_tokens=False).offsets
+        if single(cut):  # one match of the pattern, a byte a character: the merges are all that is left to do
+            ends = list(accumulate(len(t.value) for t in model.tokenize(cut.translate(table))))
+            spans = list(zip([0, *ends], ends))
+        else:
+            spans = tokenizer.encode(cut, add_special_tokens=False).offsets
         n = len(spans)
         return n, len(cut), struct.pack(f"<{n}I", *(a for a, _ in spans)), struct.pack(f"<{n}I", *(b for _, b in spans))
 
