@@ -25,20 +25,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .op3_token_store import Memo
+from .common import small_batches, table
+from .op3_token_store import Memo, byte_characters
 
 #: Unicode's White_Space characters, which the pattern's \s means.
 _SPACE = r"\t-\r \x85\xa0  -     　"
-_CUT = rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-
-
-@lru_cache(maxsize=1)
-def byte_characters() -> list[str]:
-    """The character that stands for each byte: itself where printable, else the next free one from U+0100."""
-    free = iter(range(256, 512))
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
+#: Letters whose neighbours are letters too where they aren't ASCII, as far as the cuts below can tell.
+_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: Runs of letters, digits and marks (an apostrophe may begin a clitic, so not beside one), each with a blank before it;
+#: whatever else stands between white space; and white space, less the last character before other text.
+_CUT = rf" ?[{_LETTERS}]++(?![^\x00-\x7f])| ?[0-9]++(?![^\x00-\x7f])| ?[!-&(-/:-@\[-`{{-~]++(?=[ \t\n\r0-9A-Za-z]|\Z)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,7 +48,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         import re
 
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import models
 
         ranks, chars = read_ranks(path), byte_characters()
         named = {token: "".join(chars[b] for b in token) for token in ranks}
@@ -60,14 +56,14 @@ class Codec:
         for token in sorted(ranks, key=ranks.get):
             parts = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
             merges += [(named[a], named[b]) for a, b in sorted(parts, key=lambda p: (ranks[p[0]], ranks[p[1]]))]
-        self.tokenizer = Tokenizer(models.BPE({named[t]: r for t, r in ranks.items()}, merges, ignore_merges=True))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = models.BPE({named[t]: r for t, r in ranks.items()}, merges, ignore_merges=True)
+        self.table = dict(enumerate(chars))
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.cut, self.match = re.compile(_CUT).findall, regex.compile(pattern).findall
         self.memo = Memo(self._encode_cut)
 
     def _encode_cut(self, cut: str) -> bytes:
-        ids = [i for piece in self.match(cut) for i in self.tokenizer.encode(piece).ids]
+        ids = [t.id for piece in self.match(cut) for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
@@ -94,6 +90,7 @@ def codec(path: str, pattern: str) -> Codec:
 def _mapped(df: DataFrame, each, schema: pa.Schema, ddl: str) -> DataFrame:
     """each: lists of values of the two columns -> columns of the result."""
 
+    small_batches(df.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
