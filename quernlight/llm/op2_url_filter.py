@@ -25,8 +25,10 @@ BLOCK = [("net", "/"), ("example.com", "/de/")]
 ALLOW = [("example.net", "/en/"), ("org", "/fr/")]
 #: Hosts that the method blocks where no rule says otherwise: fixed values, a parameter of judge().
 LISTED = [("cheap-pills.example.com", ""), ("casino-win.example.org", ""), ("spam-farm.example.org", "")]
-#: Labels of a host beyond which no suffix is looked up; a host name has 127 at most.
-LEVELS, FIRST_RATE, HASHES = 40, 0.01, 3
+#: Share of unlisted keys that pass the first level, at most and at least, and hashes of a key at most.
+FIRST_RATE, LEAST_RATE, HASHES = 0.01, 1e-7, 8
+#: Keys of a list at most: its bitmaps go to every task, with 10 to 34 bits a key.
+MOST_KEYS = 5_000_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -64,12 +66,16 @@ class Level:
 class Cascade:
     """Exact membership of `listed` over the keys of `universe` (both: a string column "key")."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, seed: int = 1, rate: float = FIRST_RATE):
+    def __init__(self, listed: DataFrame, universe: DataFrame, seed: int = 1, rate: float = FIRST_RATE, n_universe: int | None = None):
         listed = listed.distinct()
         n, self.levels = listed.count(), []
+        n_universe = universe.count() if n_universe is None else n_universe
+        if n > MOST_KEYS:
+            raise ValueError(f"a cascade holds {MOST_KEYS} keys at most, not {n}: deal the list out by host, and the urls with it")
         if not n:
             return
-        self.levels.append(Level(listed, n, rate, seed))
+        # as few unlisted keys as listed ones are to pass, so that no later level outgrows the first
+        self.levels.append(Level(listed, n, max(LEAST_RATE, min(rate, 0.7 * n / max(1, n_universe))), seed))
         # what passes the first level is a small part of the universe; only that is kept and looked at again
         passed = universe.filter(self.levels[0].has(F.col("key"))).distinct()
         wrong, right = stored(passed.join(listed, "key", "left_anti"), "cascade"), listed
@@ -92,7 +98,8 @@ def judge(pages: DataFrame, block=BLOCK, allow=ALLOW, listed=LISTED, id_col: str
     split = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     keys = keys_of(F.col("host"), F.col("path"), lengths)
     universe = stored(split.select(F.explode(keys).alias("key")).distinct(), "url-keys")
-    cascades = [Cascade(spark.createDataFrame([(h + p,) for h, p in rules], "key string"), universe, seed) for seed, rules in ((1, block), (10_001, allow), (20_001, listed))]
+    n = universe.count()
+    cascades = [Cascade(spark.createDataFrame([(h + p,) for h, p in rules], "key string"), universe, seed, n_universe=n) for seed, rules in ((1, block), (10_001, allow), (20_001, listed))]
     # a row for each key, and one of no key, so that each url stays; the bit tests then leave few rows of a url to gather
     each = split.select("row", "page_id", "host", "path", F.explode(F.concat(keys, F.array(F.lit(None).cast("string")))).alias("key"))
     is_key = [F.col("key").isNotNull() & c.has(F.col("key")) for c in cascades]
