@@ -43,7 +43,7 @@ SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd":
 #: Words of class and id names, and roles, that say what isn't main text, and what is.
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner nav navbar navigation menu menubar topbar breadcrumb breadcrumbs "
-    "sidebar aside rail footer masthead header comment comments commentlist respond reply replies discussion disqus cookie cookies consent gdpr notice notices notification alert "
+    "sidebar aside rail footer masthead header cookie cookies consent gdpr notice notices notification alert "
     "popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager search form skip paywall".split()
 )
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -55,8 +55,13 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([a-z:_-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Regions of a block: outside any article, in something that a class calls one, in main, in article; or no main text.
-CHROME, OTHER, NAMED, MAIN, ARTICLE = range(-1, 4)
+#: Words of names by which readers' comments are told; no article inside is the page's.
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
+#: Beginnings of names that tell of a page's layout, not of the element itself.
+_LAYOUT = re.compile(r"(?:has|no|with|without|is|js|hide|show)[-_]", re.I)
+#: Regions of a block: none of the main text, and the same by a class alone, in which an article may still stand;
+#: outside any article, in something that a class calls one, in main, in article.
+CHROME, SOFT, OTHER, NAMED, MAIN, ARTICLE = range(-2, 4)
 
 
 def _region(tag: str, attrs: str, now: int) -> int:
@@ -64,11 +69,18 @@ def _region(tag: str, attrs: str, now: int) -> int:
     if now == CHROME or tag in DROPPED:
         return CHROME
     region = ARTICLE if tag == "article" else MAIN if tag == "main" else OTHER
-    if attrs and "=" in attrs or "hidden" in attrs:
+    if now == SOFT and region == OTHER:
+        return SOFT
+    if "=" in attrs or "hidden" in attrs:
         found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-        role, names = found.get("role", "").lower(), {w.lower() for k in ("class", "id") for w in _NAME_PART.findall(found.get(k, ""))}
-        if role in CHROME_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or (tag not in ("html", "body", "main") and names & CHROME_WORDS and not (tag == "article" and not names & {"comment", "comments", "reply"})):
+        role = found.get("role", "").lower()
+        names = {w.lower() for k in ("class", "id") for name in found.get(k, "").split() if not _LAYOUT.match(name) for w in _NAME_PART.findall(name)}
+        if role in CHROME_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
             return CHROME
+        if tag not in ("html", "body", "main", "article") and names & COMMENT_WORDS or tag == "article" and {"comment", "comments", "reply"} & set(found.get("class", "").lower().split()):
+            return CHROME
+        if tag not in ("html", "body", "main", "article") and names & CHROME_WORDS:
+            return SOFT
         if role == "article" or found.get("itemprop", "").lower() == "articlebody":
             region = ARTICLE
         elif role == "main":
@@ -76,7 +88,7 @@ def _region(tag: str, attrs: str, now: int) -> int:
         elif tag in ("div", "section", "td") and names & ARTICLE_WORDS:
             region = max(region, NAMED)
     if tag == "header" and max(now, region) < ARTICLE:
-        return CHROME
+        return SOFT
     return max(now, region)
 
 
@@ -98,12 +110,12 @@ def blocks(page: str) -> list[tuple[int, str]]:
         region = stack[-1][1] if stack else OTHER
 
     for token in _TOKEN.finditer(page):
-        if region != CHROME and token.start() > at:
+        if region >= OTHER and token.start() > at:
             buffer.append(entities.unescape(page[at : token.start()]))
         at = token.end()
         tag = token["tag"] or token["tag2"]
         if tag is None:
-            if token["raw"] and token["raw"].lower() not in SILENT and region != CHROME:
+            if token["raw"] and token["raw"].lower() not in SILENT and region >= OTHER:
                 buffer.append(" ")
             continue
         tag = tag.lower()
@@ -142,7 +154,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if not (token["attrs"] or "").endswith("/") or tag not in INLINE:
             stack.append((tag, inside))
             region = inside
-    if region != CHROME and at < len(page):
+    if region >= OTHER and at < len(page):
         buffer.append(entities.unescape(page[at:]))
     flush()
     return out

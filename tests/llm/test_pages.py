@@ -68,6 +68,26 @@ def test_marked_articles():
     assert [t for _, t in op9_main_text.blocks("a <b>b</b>c<p>d &amp e &am")] == ["a bc", "d & e &am"]
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="content no-sidebar"><p>kept</div><div class="sidebar">x</div>', "kept"),
+        ('<div class="sidebar-layout"><article>kept</article>x</div>', "kept"),
+        ('<div id="comments"><article>x</article></div><article class="post has-comments">kept</article><article class="comment">y</article>', "kept"),
+        ("<main><form>x</form><p>kept</p><div role=complementary>y</div></main>z", "kept"),
+        ('<div class="post-body">kept<div class="social-share">x</div> too</div>other', "kept too"),
+        ("<body><header>x</header><article><header><h1>kept</h1></header>too</article>", "kept too"),
+        ("<table><tr><td>a<td>b</table><dl><dt>c<dd>d</dl>", "a b c d"),
+        ("<p>one<!-- x -->two <script>y</script>three<noscript>z", "onetwo three"),
+        ("<p hidden>x<p>a &lt;b&gt; &#233;&eacute;&nbsp;c", "a <b> éé c"),
+        ("<nav>x<p>y</nav></div></p>kept", "kept"),
+        ('<div class="left-sidebar">x</div><div id="cookieBanner">y</div><div class="main-text">kept</div>', "kept"),
+    ],
+)
+def test_what_is_main_text(page, text):
+    assert op9_main_text.main_text(op9_main_text.blocks(page), None) == text
+
+
 def test_unmarked_pages_lose_what_their_neighbour_shares(spark):
     page = "<body><div>Site name</div><p>{}</p><p>{}</p><div>About us</div></body>"
     rows = [(i, f"http://a.com/{i}", page.format(f"text {i}", f"more {i}"), "x") for i in range(4)]
