@@ -38,11 +38,27 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage at files that outlive any executor."""
-    path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    made = df.sparkSession.read.schema(df.schema).parquet(path)
+#: For a shared folder that is a file system of the machines: files without a checksum beside each. Hadoop starts four
+#: processes for each file there otherwise, to set permissions, and one so. Other stores take no notice.
+WRITING = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def stored(df: DataFrame, label: str, small: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage at files that outlive any executor.
+
+    small: the table is light to compute, so tasks are joined up to the advisory size rather than kept many.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, label)
+    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(name)
+    if small:
+        spark.conf.set(name, "false")
+    try:
+        df.write.options(**WRITING).parquet(path)
+    finally:
+        if small:
+            spark.conf.set(name, before)
+    made = spark.read.schema(df.schema).parquet(path)
     made.stored_path = path
     return made
 

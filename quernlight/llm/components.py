@@ -20,20 +20,20 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points every node at its smallest neighbour (or itself), follows the pointers twice, and contracts the
     edges to what they point at; a component of n nodes is done after about log n rounds. Every round is a written table.
     """
-    edges, maps, used = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"), [], []
-    used.append(edges)
+    links = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, maps = stored(links, "edges", small=True), []
+    used = [edges]
     while not edges.isEmpty():
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select("b", "a"))
-        parents = ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent"))
-        used.append(parents := stored(parents, "parents"))
-        for _ in range(2):
-            used.append(parents := stored(_mapped(parents, "parent", parents), "parents"))
+        nearest = ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent"))
+        used.append(nearest := stored(nearest, "nearest", small=True))
+        used.append(parents := stored(_mapped(_mapped(nearest, "parent", nearest), "parent", nearest), "parents", small=True))
         maps.append(parents)
         left = _mapped(_mapped(edges, "a", parents), "b", parents).filter("a <> b")
-        used.append(edges := stored(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"))
+        used.append(edges := stored(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", small=True))
     roots = maps[0].select("node", F.col("parent").alias("root")) if maps else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for later in maps[1:]:
         roots = _mapped(roots, "root", later)
-    roots = stored(roots.filter("node <> root"), "roots")
+    roots = stored(roots.filter("node <> root"), "roots", small=True)
     drop_stored(*used)
     return roots

@@ -78,7 +78,7 @@ class Cascade:
         self.levels.append(Level(listed, n, max(LEAST_RATE, min(rate, 0.7 * n / max(1, n_universe))), seed))
         # what passes the first level is a small part of the universe; only that is kept and looked at again
         passed = universe.filter(self.levels[0].has(F.col("key"))).distinct()
-        wrong, right = stored(passed.join(listed, "key", "left_anti"), "cascade"), listed
+        wrong, right = stored(passed.join(listed, "key", "left_anti"), "cascade", small=True), listed
         while n := wrong.count():
             self.levels.append(Level(wrong, n, 0.5, seed + len(self.levels) * 64))
             right, wrong = wrong, right.filter(self.levels[-1].has(F.col("key")))
@@ -97,7 +97,7 @@ def judge(pages: DataFrame, block=BLOCK, allow=ALLOW, listed=LISTED, id_col: str
     host, path = host_and_path(F.col(url_col))
     split = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     keys = keys_of(F.col("host"), F.col("path"), lengths)
-    universe = stored(split.select(F.explode(keys).alias("key")).distinct(), "url-keys")
+    universe = stored(split.select(F.explode(keys).alias("key")).distinct(), "url-keys", small=True)
     n = universe.count()
     cascades = [Cascade(spark.createDataFrame([(h + p,) for h, p in rules], "key string"), universe, seed, n_universe=n) for seed, rules in ((1, block), (10_001, allow), (20_001, listed))]
     # a row for each key, and one of no key, so that each url stays; the bit tests then leave few rows of a url to gather

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import dac
-from .common import shared_path, small_batches, table
+from .common import WRITING, shared_path, small_batches, table
 
 CONTAINER_IDS = 1 << 20
 #: Chunks longer than this are encoded without being remembered; at most MEMO chunks are remembered by a worker.
@@ -117,7 +117,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
             yield container()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(pack, STORE).write.option("compression", "zstd").parquet(path)
+    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(pack, STORE).write.options(**WRITING).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -189,16 +189,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     small_batches(docs.sparkSession)
     signed = stored(sign(split(docs, id_col, text_col), bands, size), "signed")
     keys = signed.filter("bands IS NOT NULL").select("node", "size", F.explode("bands").alias("band"))
-    shared = stored(keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band"), "shared")
+    shared = stored(keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band"), "shared", small=True)
     bits = bitmap_bits(shared.count(), 16)
-    members = stored(keys.filter(in_bitmap(bitmap(shared, bits), F.col("band"), bits)).join(shared, "band", "left_semi").groupBy("band", "node").agg(F.max("size").alias("size")), "members")
+    members = stored(keys.filter(in_bitmap(bitmap(shared, bits), F.col("band"), bits)).join(shared, "band", "left_semi").groupBy("band", "node").agg(F.max("size").alias("size")), "members", small=True)
 
     company = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     central = members.join(company, "band").groupBy("node").agg(F.sum("n").alias("company"))
     placed = members.join(central, "node")
     leaders = placed.groupBy("band").agg(F.max(F.struct("company", "node")).alias("leader"))
     first = placed.join(leaders, "band").filter("node <> leader.node").groupBy("node").agg(F.max("leader").alias("leader"))
-    pairs = stored(first.select(F.col("leader.node").alias("a"), F.col("node").alias("b")), "pairs")
+    pairs = first.select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
     nodes = members.select("node").distinct()
     words = words_of_nodes(nodes, nodes.count(), signed, docs, text_col)
     links = verify(pairs, words, threshold)
@@ -211,7 +211,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     if not more.isEmpty():
         drop_stored(roots)
         roots = components(links.unionAll(more))
-    drop_stored(shared, members, pairs, words, links, more)
+    drop_stored(shared, members, words, links, more)
     return signed.select("doc_id", "raw", "node").join(roots, "node", "left").select("doc_id", "raw", "node", F.coalesce("root", "node").alias("class"))
 
 

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op4_byte_bpe, op5_near_duplicates, op6_decontaminate, op7_toxicity, op8_quality_rules
-from .common import shared_path, table
+from .common import WRITING, shared_path, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +51,6 @@ def run(spark: SparkSession, sf_dir: str, stages=STAGES) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(stages):
         path = shared_path(spark, f"stage-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir).write.options(**WRITING).parquet(path)
         docs = spark.read.parquet(path)
     return docs
