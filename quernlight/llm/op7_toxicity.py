@@ -2,8 +2,9 @@
 
 A document's features are the n-grams of 3 to 5 characters of its lower-cased words, with a blank before and after each
 word, present or not, hashed to 2^22 places. On labelled rows the log ratio of a feature's smoothed share among label-1
-and among label-0 rows scales it; logistic regression with an L2 penalty weighs the scaled features, and sums over
-a quarter of the rows, of weights that haven't seen it, are mapped to probabilities; the weights are then fitted on all.
+and among label-0 rows scales it; logistic regression with an L2 penalty weighs the scaled features, and sums of
+weights that haven't seen a row, fitted on three quarters of the others, are mapped to probabilities; the weights that
+are kept are fitted on all.
 
 Training takes at most MAX_PER_LABEL labelled rows of each label, those with the smallest hash of their id: a bounded,
 repeatable sample. Labels, languages, sources and ids are never inputs of a score. Every whole text is scored.
@@ -28,6 +29,8 @@ from .common import small_batches, table
 SIZES, BITS, FEATURES = (3, 4, 5), 22, 16_384
 #: Features count whose shares under the two labels lie so many standard errors apart, the furthest FEATURES of them.
 APART = 3.25
+#: Parts of the training rows whose sums come from weights that haven't seen them.
+FOLDS = 4
 MAX_PER_LABEL, THRESHOLD = 1_500, 0.3
 #: Characters of texts that are looked at in one go; a longer text has a go of its own.
 AT_ONCE = 1 << 18
@@ -163,11 +166,13 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, step
         p = min(max(share, 1e-9), 1 - 1e-9)
         return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log(p / (1 - p))))
     found = features(texts)
-    held = np.arange(len(y)) % 4 == 3
-    part, rest = np.flatnonzero(~held), np.flatnonzero(held)
-    model = _fit(found, y, part, penalty, steps)
-    rows, cols = _ones(found, rest, model.places)
-    z, a, c, t = np.bincount(rows, model.weights[cols], len(rest)) + model.intercept, 1.0, 0.0, y[rest]
+    z, a, c, t = np.zeros(len(y)), 1.0, 0.0, y
+    for fold in range(FOLDS):
+        held = np.arange(len(y)) % FOLDS == fold
+        part, rest = np.flatnonzero(~held), np.flatnonzero(held)
+        model = _fit(found, y, part, penalty, steps)
+        rows, cols = _ones(found, rest, model.places)
+        z[rest] = np.bincount(rows, model.weights[cols], len(rest)) + model.intercept
     if 0 < t.sum() < len(t):
         # smoothed targets, as in Platt's method, by Newton steps; then the sample's even labels are put back to their share
         t = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / (len(t) - t.sum() + 2))
