@@ -1,10 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame functions only.
 
-A seed is a fixed mask over 8 words that reads 6 of them, so that words put in place of the ignored ones leave the hash
-as it was. All masks read the first two words, which lets a bitmap of the benchmark's word pairs turn away most places
-before any seed is hashed; a second bitmap turns away most other seeds (neither ever turns away a true one). What is
-left is joined to the benchmark's seeds. Around each hit text and item are laid side by side on the hit's diagonal; an
-overlap counts if some WINDOW consecutive words of the item (all of them, if it has fewer) agree in at least AGREE.
+A seed is a fixed mask over 5 to 8 words that reads 5 of them, so that words put in place of the ignored ones leave the
+hash as it was. However the words that AGREE allows to differ lie in a window of 8 to WINDOW words, one of the masks
+finds a place in it where all that it reads agree, so no overlap is lost before it is checked. All masks read the first
+two words, which lets a bitmap of the benchmark's word pairs turn away most places before any seed is hashed; a second
+bitmap turns away most other seeds (neither ever turns away a true one). What is left is joined to the benchmark's
+seeds. Around each hit text and item are laid side by side on the hit's diagonal; an overlap counts if some WINDOW
+consecutive words of the item (all of them, if it has fewer) agree in at least AGREE.
 
 Nulls: null and empty texts and items match nothing. Items of fewer than 8 words are too short to tell from chance and
 match nothing. Repeated rows, ids and items: a result row for each pair of ids. Other columns are ignored.
@@ -19,9 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, bitmap_bits, in_bitmap, table
 
-#: The words that each mask reads, 1 for those that count.
-MASKS = ("11011011", "11101101", "11010111")
+#: Words of the shortest item, and of a window; the share of a window that agrees.
 SPAN, WINDOW, AGREE = 8, 16, 0.8
+#: The words that each mask reads, 1 for those that count. They begin with two that do and end with one.
+SEEDS = ("11111", "111011", "11010011")
+#: The same at every place within SPAN words.
+MASKS = tuple("0" * k + m + "0" * (SPAN - len(m) - k) for m in SEEDS for k in range(SPAN - len(m) + 1))
 #: A benchmark of more seeds is joined by shuffling, not broadcast.
 BROADCAST_SEEDS = 500_000
 SEPARATORS = r"[^\p{L}\p{M}\p{N}]+"
@@ -33,13 +38,13 @@ def words_of(text: Column) -> Column:
 
 def _seeds(words: str, at: str) -> list[Column]:
     """The seed of each mask over the words from a place on."""
-    return [F.xxhash64(F.lit(m), *[F.get(words, F.col(at) + j) for j, on in enumerate(mask) if on == "1"]) for m, mask in enumerate(MASKS)]
+    return [F.xxhash64(F.lit(m), *[F.get(words, F.col(at) + j) for j, on in enumerate(mask) if on == "1"]) for m, mask in enumerate(SEEDS)]
 
 
 def _places(texts: DataFrame, words: str) -> DataFrame:
-    """A row for each place with SPAN words from there on, with the hash of the first two."""
+    """A row for each place with words for the shortest mask from there on, with the hash of the first two."""
     placed = texts.select("*", F.posexplode(words).alias("pos", "word"))
-    return placed.filter(F.col("pos") + SPAN <= F.size(words)).withColumn("pair", F.xxhash64("word", F.get(words, F.col("pos") + 1))).drop("word")
+    return placed.filter(F.col("pos") + min(map(len, SEEDS)) <= F.size(words)).withColumn("pair", F.xxhash64("word", F.get(words, F.col("pos") + 1))).drop("word")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -47,8 +52,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("item"))
     items = items.filter(F.size("item") >= SPAN).distinct()
     starts = _places(items, "item")
-    seeds = starts.select("item_id", F.size("item").alias("n_item"), F.col("pos").alias("place"), F.explode(F.array(*_seeds("item", "pos"))).alias("seed"))
-    n_seeds, longest = (x or 0 for x in items.agg(F.sum(len(MASKS) * (F.size("item") - SPAN + 1)), F.max(F.size("item"))).first())
+    whole = [F.when(F.col("pos") + len(mask) <= F.size("item"), seed) for mask, seed in zip(SEEDS, _seeds("item", "pos"))]
+    seeds = starts.select("item_id", F.size("item").alias("n_item"), F.col("pos").alias("place"), F.explode(F.array_compact(F.array(*whole))).alias("seed"))
+    n_seeds, longest = (x or 0 for x in items.agg(F.sum(len(SEEDS) * (F.size("item") + 1) - sum(map(len, SEEDS))), F.max(F.size("item"))).first())
     small, bits = n_seeds <= BROADCAST_SEEDS, bitmap_bits(n_seeds, 64)
     pair_bits = bitmap(starts.select("pair"), bits)
     seed_bits = bitmap(seeds.select("seed"), bits)

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -119,6 +120,24 @@ def test_overlaps_as_by_brute_force(spark, docs_of):
     assert op6_decontaminate.overlaps(docs_of(texts), empty).count() == 0 and op6_decontaminate.overlaps(docs_of([]), benchmark).count() == 0
 
 
+def test_overlaps_of_every_substitution_pattern(spark, docs_of):
+    items, texts, pairs = [], [], set()
+    for n in range(8, 17):
+        word = [f"w{n}x{j}" for j in range(n)]
+        items.append((n, " ".join(word)))
+        most = next(k for k in range(n, -1, -1) if n - k >= 0.8 * n)
+        for places in itertools.combinations(range(n), most):
+            pairs.add((len(texts), n, n - most))
+            texts.append(" ".join(["before", *("other" if j in places else w for j, w in enumerate(word)), "after"]))
+        texts.append(" ".join("other" if j <= most else w for j, w in enumerate(word)))
+        cut = word[most:]
+        for text in (cut, ["before", *cut], word[: n - most]):
+            pairs.add((len(texts), n, n - most))
+            texts.append(" ".join(text))
+    rows = op6_decontaminate.overlaps(docs_of(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_matched"]) for r in rows} == pairs
+
+
 def test_toxicity_on_held_out_rows(spark, docs_of):
     r = random.Random(4)
     texts, labels = [], []
