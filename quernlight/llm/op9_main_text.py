@@ -1,8 +1,9 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages are dealt out by ranges of host and path, so that a page's neighbours in path order stand next to it in a task; of
-the two the one whose path shares the longer prefix is its partner (the earlier of equals). Both pages' text lines
-(blocks) are aligned by a longest common subsequence, and lines that both have are deleted.
+Pages are put in order of host and path. A run is pages of a host that follow each other, each nearly the same as the
+one before; the nearest pages outside a page's run, before and after, are its neighbours, and of the two the one whose
+path shares the longer prefix is its partner (the earlier of equals). Both pages' text lines (blocks) are aligned by a
+longest common subsequence, and lines that both have are deleted.
 
 Differencing alone can't give right results: adverts and footers differ from page to page, and mirrored articles are all
 shared lines. So markup speaks first. Elements that hold no main text (menus, headers, footers, sidebars, notices,
@@ -10,7 +11,8 @@ adverts, forms, comments, by their tag, role or class) are left out; where a pag
 text, and shared lines inside are kept. Where it doesn't, the lines that the partner shares are deleted, unless that
 would leave nothing (a mirrored page).
 
-A task's first and last page have a neighbour on one side only; a host's only page has none and keeps all its lines.
+Blocks are written once in order; a run that tasks cut is joined again by a page on each side of the cut, so partners
+don't depend on tasks. A host's only page, or only run, has no partner and keeps all its lines.
 Nulls: a null html is empty, a null url has no host and isn't paired. Empty pages give an empty text. Very long pages are
 read whole, their alignment in bounded memory. Equal urls (ties) go by page_id; repeated rows each get a row. Other
 columns are ignored.
@@ -19,15 +21,18 @@ columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import os.path
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, stored, table
 from .lcs import common
 from .op2_url_filter import host_and_path
 
@@ -62,6 +67,8 @@ _LAYOUT = re.compile(r"(?:has|no|with|without|is|js|hide|show)[-_]", re.I)
 #: Regions of a block: none of the main text, and the same by a class alone, in which an article may still stand;
 #: outside any article, in something that a class calls one, in main, in article.
 CHROME, SOFT, OTHER, NAMED, MAIN, ARTICLE = range(-2, 4)
+#: Fixed value: the share of the characters that pages have in common if they are nearly the same.
+NEARLY = 0.8
 
 
 def _region(tag: str, attrs: str, now: int) -> int:
@@ -171,59 +178,149 @@ def main_text(own: list[tuple[int, str]], partner: list[tuple[int, str]] | None)
     return " ".join(kept)
 
 
+def alike(a: Sequence[str], b: Sequence[str]) -> bool:
+    """Whether pages of these lines are nearly the same."""
+    shared = sum(len(t) * n for t, n in (Counter(a) & Counter(b)).items())
+    return shared >= NEARLY * max(sum(map(len, a)), sum(map(len, b)))
+
+
 def _nearest(path: str, before, after):
-    """Of the neighbours (host, path, blocks) the one with the longer common path prefix."""
+    """Of the neighbours (path, lines) the one with the longer common path prefix."""
     if before is None or after is None:
         return before or after
-    share = lambda other: len(os.path.commonprefix([path, other[1]]))
+    share = lambda other: len(os.path.commonprefix([path, other[0]]))
     return before if share(before) >= share(after) else after
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    small_batches(pages.sparkSession)
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """rows, each with its size at the end, in batches."""
+    done: list[tuple] = []
+    size = 0
+    for *row, n in rows:
+        done.append(row)
+        size += n
+        if len(done) >= 1000 or size > 1 << 22:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+            done.clear()
+            size = 0
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield [c[k].as_py() for c in batch.columns]
+
+
+BLOCKS = [("host", pa.string()), ("path", pa.string()), ("regions", pa.list_(pa.int32())), ("lines", pa.list_(pa.string()))]
+BLOCKS_SQL = "host string, path string, regions array<int>, lines array<string>"
+
+
+def _in_order(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """page_id, url, host, path, regions and lines of the blocks, task, run (number of it in the task), first, last (of the run, in the task)."""
     id_kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
+    host, path = host_and_path(F.col(url_col))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([*list(batch.schema)[:2], *BLOCKS])
+
+            def made():
+                for key, url, host, path, page in _rows([batch]):  # noqa: B023
+                    found = blocks(page)
+                    yield key, url, host, path, [r for r, _ in found], [t for _, t in found], sum(len(t) for _, t in found)
+
+            yield from _batches(made(), schema)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, schema = TaskContext.get().partitionId(), []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                keys, urls, hosts, paths = (batch.column(k) for k in range(4))
-                for k in range(batch.num_rows):
-                    yield keys[k], urls[k], hosts[k].as_py(), paths[k].as_py(), blocks(batch.column(4)[k].as_py())
-
-        def partnered():
-            before, now = None, None
-            for after in rows():
-                if now is not None:
-                    yield before, now, after
-                before, now = now, after
-            if now is not None:
-                yield before, now, None
-
-        done: list = []
-
-        def packed():
-            keys, urls, texts = zip(*done)
-            return pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], keys[0].type), pa.array([u.as_py() for u in urls], urls[0].type), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-        size = 0
-        for before, now, after in partnered():
-            near = [x[2:] if x is not None and now[2] and x[2] == now[2] else None for x in (before, after)]
-            partner = _nearest(now[3], *near)
-            text = main_text(now[4], partner[2] if partner else None)
-            done.append((now[0], now[1], text))
-            size += len(text)
-            if len(done) >= 1000 or size > 1 << 22:
-                yield packed()
-                done.clear()
-                size = 0
-        if done:
-            yield packed()
+                schema[:] = list(batch.schema)[:2]
+                yield from _rows([batch])
+
+        def made():
+            last, run, first = None, 0, True
+            for now in rows():
+                if last is not None:
+                    new = not now[2] or now[2] != last[2] or not alike(now[5], last[5])
+                    yield *last, task, run, first, new, sum(map(len, last[5]))
+                    run, first = run + new, new
+                last = now
+            if last is not None:
+                yield *last, task, run, first, True, sum(map(len, last[5]))
+
+        found = made()
+        if (one := next(found, None)) is not None:
+            extra = [("task", pa.int32()), ("run", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())]
+            yield from _batches(itertools.chain([one], found), pa.schema([*schema, *BLOCKS, *extra]))
 
-    host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     order = ("host", "path", "page_id", "url")
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"page_id {id_kind}, url {url_kind}, text string, n_chars long")
+    own = f"page_id {id_kind}, url {url_kind}, {BLOCKS_SQL}"
+    dealt = rows.mapInArrow(split, own).repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(dealt.mapInArrow(number, f"{own}, task int, run int, first boolean, last boolean"), "pages")
+
+
+def _across(ordered: DataFrame) -> DataFrame:
+    """task, and where the runs before its first run and after its last one are: before_task, before_run, after_task, after_run (null: none)."""
+    spark = ordered.sparkSession
+    runs = dict(map(tuple, ordered.groupBy("task").agg(F.max("run") + 1).collect()))
+    tasks = sorted(runs)
+    cuts = spark.createDataFrame([(a, runs[a] - 1, b) for a, b in zip(tasks, tasks[1:])], "task int, run int, next int")
+    above = ordered.filter("last").join(F.broadcast(cuts), ["task", "run"]).select("next", F.col("host").alias("host"), F.col("lines").alias("above"))
+    below = ordered.filter("first AND run = 0").select(F.col("task").alias("next"), F.col("host").alias("own"), F.col("lines").alias("below"))
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"next": pa.array([r[0] for r in _rows([batch]) if r[1] and r[1] == r[3] and alike(r[2], r[4])], pa.int32())})
+
+    joined = {r[0] for r in above.join(below, "next").mapInArrow(same, "next int").collect()}
+    before: dict = {}
+    for a, b in zip(tasks, tasks[1:]):
+        before[b] = (a, runs[a] - 1) if b not in joined else (a, runs[a] - 2) if runs[a] > 1 else before.get(a)
+    after: dict = {}
+    for a, b in zip(tasks[-2::-1], tasks[:0:-1]):
+        after[a] = (b, 0) if b not in joined else (b, 1) if runs[b] > 1 else after.get(b)
+    return spark.createDataFrame([(t, runs[t] - 1, *(before.get(t) or (None, None)), *(after.get(t) or (None, None))) for t in tasks], "task int, last_run int, before_task int, before_run int, after_task int, after_run int")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    small_batches(pages.sparkSession)
+    ordered = _in_order(pages, id_col, url_col, html_col)
+    marked = F.coalesce(F.array_max("regions"), F.lit(OTHER)) >= MAIN
+    out = f"page_id {ordered.schema['page_id'].dataType.simpleString()}, url {ordered.schema['url'].dataType.simpleString()}, text string, n_chars long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([*list(batch.schema)[:2], ("text", pa.string()), ("n_chars", pa.int64())])
+
+            def made():
+                for key, url, path, regions, lines, *near in _rows([batch]):  # noqa: B023
+                    partner = _nearest(path, *[(p, t) if p is not None else None for p, t in zip(near[::2], near[1::2])]) if near else None
+                    text = main_text(list(zip(regions, lines)), [(OTHER, t) for t in partner[1]] if partner else None)
+                    yield key, url, text, len(text), len(text)
+
+            yield from _batches(made(), schema)
+
+    columns = ["page_id", "url", "path", "regions", "lines"]
+    sure = ordered.filter(marked).select(*columns).mapInArrow(run, out)
+    open_ = ordered.filter(~marked)
+    if open_.isEmpty():
+        return sure
+    placed = open_.join(F.broadcast(_across(ordered)), "task").select("*", *[
+        F.when(inner, here).otherwise(F.col(there)).alias(name)
+        for inner, step, side in ((F.col("run") > 0, -1, "before"), (F.col("run") < F.col("last_run"), 1, "after"))
+        for here, there, name in ((F.col("task"), f"{side}_task", f"{side}_t"), (F.col("run") + step, f"{side}_run", f"{side}_r"))
+    ])
+    for side, edge in (("before", "last"), ("after", "first")):
+        near = ordered.filter(edge).select(F.col("task").alias(f"{side}_t"), F.col("run").alias(f"{side}_r"), F.col("host").alias(f"{side}_host"), F.col("path").alias(f"{side}_path"), F.col("lines").alias(f"{side}_lines"))
+        placed = placed.join(near, [f"{side}_t", f"{side}_r"], "left")
+    fits = [F.when((F.col("host") != "") & (F.col("host") == F.col(f"{side}_host")), F.col(f"{side}_{c}")).alias(f"{side}_{c}") for side in ("before", "after") for c in ("path", "lines")]
+    return sure.unionAll(placed.select(*columns, *fits).mapInArrow(run, out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import os.path
 import random
 
 import pytest
@@ -99,3 +100,20 @@ def test_unmarked_pages_lose_what_their_neighbour_shares(spark):
     assert got[30]["text"] == "" and got[31]["text"] == got[32]["text"] == "Head & line One two <x> three a b"
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert op9_main_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 8, 40])
+def test_partners_stand_beyond_the_borders_of_tasks(spark, monkeypatch, tasks):
+    page = "<body><div>Site name</div><div>Menu {}</div><p>{}</p><div>About us</div></body>"
+    pages = spark.createDataFrame([(i, f"http://a.com/{i:03}", page.format(i // 2, f"text of page {i}")) for i in range(40)], "page_id long, url string, html string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(type(pages), "repartitionByRange", lambda self, *by, deal=type(pages).repartitionByRange: deal(self, tasks, *by))
+    try:
+        got = {r["page_id"]: r["text"] for r in op9_main_text.extract(pages).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    paths = [f"/{i:03}" for i in range(40)]
+    for i in range(40):
+        near = [k for k in (i - 1, i + 1) if 0 <= k < 40]
+        other = max(near, key=lambda k: (len(os.path.commonprefix([paths[i], paths[k]])), -k))
+        assert got[i] == ("" if other // 2 == i // 2 else f"Menu {i // 2} ") + f"text of page {i}"
