@@ -9,9 +9,10 @@ Differencing alone can't give right results: adverts and footers differ from pag
 shared lines. So markup speaks first. Elements that hold no main text (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, by their tag, role or class) are left out; where a page marks its article, that is the main
 text, and shared lines inside are kept. Where it doesn't, the lines that the partner shares are deleted, unless that
-would leave nothing (a mirrored page).
+would leave hardly anything (a mirrored page).
 
-Blocks are written once in order; a run that tasks cut is joined again by a page on each side of the cut, so partners
+Only the pages of hosts that have a page without a marked article are put in order (a bitmap of hosts may let a few more
+through). Their blocks are written once in order; a run that tasks cut is joined again by a page on each side of the cut, so partners
 don't depend on tasks. A host's only page, or only run, has no partner and keeps all its lines.
 Nulls: a null html is empty, a null url has no host and isn't paired. Empty pages give an empty text. Very long pages are
 read whole, their alignment in bounded memory. Equal urls (ties) go by page_id; repeated rows each get a row. Other
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import bitmap, bitmap_bits, in_bitmap, small_batches, stored, table
 from .lcs import common
 from .op2_url_filter import host_and_path
 
@@ -174,7 +175,8 @@ def main_text(own: list[tuple[int, str]], partner: list[tuple[int, str]] | None)
     if best < MAIN and partner:
         lines = [t for _, t in own]
         shared = {i for i, _ in common(lines, [t for _, t in partner])}
-        kept = [t for i, (r, t) in enumerate(own) if r == best and i not in shared] or kept
+        if sum(len(lines[i]) for i in shared) < NEARLY * sum(map(len, lines)):
+            kept = [t for i, (r, t) in enumerate(own) if r == best and i not in shared] or kept
     return " ".join(kept)
 
 
@@ -217,11 +219,9 @@ BLOCKS = [("host", pa.string()), ("path", pa.string()), ("regions", pa.list_(pa.
 BLOCKS_SQL = "host string, path string, regions array<int>, lines array<string>"
 
 
-def _in_order(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, url, host, path, regions and lines of the blocks, task, run (number of it in the task), first, last (of the run, in the task)."""
-    id_kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
-    host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+def _split(rows: DataFrame) -> DataFrame:
+    """rows: page_id, url, host, path, html. The same with regions and lines of the blocks for html."""
+    id_kind, url_kind = (rows.schema[c].dataType.simpleString() for c in ("page_id", "url"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,6 +234,13 @@ def _in_order(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
 
             yield from _batches(made(), schema)
 
+    return rows.mapInArrow(split, f"page_id {id_kind}, url {url_kind}, {BLOCKS_SQL}")
+
+
+def _in_order(parts: DataFrame) -> DataFrame:
+    """The columns of parts, task, run (number of it in the task), first, last (of the run, in the task)."""
+    id_kind, url_kind = (parts.schema[c].dataType.simpleString() for c in ("page_id", "url"))
+
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, schema = TaskContext.get().partitionId(), []
 
@@ -260,7 +267,7 @@ def _in_order(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
 
     order = ("host", "path", "page_id", "url")
     own = f"page_id {id_kind}, url {url_kind}, {BLOCKS_SQL}"
-    dealt = rows.mapInArrow(split, own).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = parts.repartitionByRange(*order).sortWithinPartitions(*order)
     return stored(dealt.mapInArrow(number, f"{own}, task int, run int, first boolean, last boolean"), "pages")
 
 
@@ -290,9 +297,12 @@ def _across(ordered: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     small_batches(pages.sparkSession)
-    ordered = _in_order(pages, id_col, url_col, html_col)
+    host, path = host_and_path(F.col(url_col))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(host, F.lit("")).alias("host"), path.alias("path"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    parts = _split(rows)
     marked = F.coalesce(F.array_max("regions"), F.lit(OTHER)) >= MAIN
-    out = f"page_id {ordered.schema['page_id'].dataType.simpleString()}, url {ordered.schema['url'].dataType.simpleString()}, text string, n_chars long"
+    alone = marked | (F.col("host") == "")
+    out = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,11 +317,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield from _batches(made(), schema)
 
     columns = ["page_id", "url", "path", "regions", "lines"]
-    sure = ordered.filter(marked).select(*columns).mapInArrow(run, out)
-    open_ = ordered.filter(~marked)
-    if open_.isEmpty():
+    sure = parts.filter(alone).select(*columns).mapInArrow(run, out)
+    hosts = stored(parts.filter(~alone).select(F.xxhash64("host").alias("h")).distinct(), "hosts", small=True)
+    if not (n := hosts.count()):
         return sure
-    placed = open_.join(F.broadcast(_across(ordered)), "task").select("*", *[
+    bits = bitmap_bits(n)
+    ordered = _in_order(_split(rows.filter((F.col("host") != "") & in_bitmap(bitmap(hosts, bits), F.xxhash64("host"), bits))))
+    placed = ordered.filter(~marked).join(F.broadcast(_across(ordered)), "task").select("*", *[
         F.when(inner, here).otherwise(F.col(there)).alias(name)
         for inner, step, side in ((F.col("run") > 0, -1, "before"), (F.col("run") < F.col("last_run"), 1, "after"))
         for here, there, name in ((F.col("task"), f"{side}_task", f"{side}_t"), (F.col("run") + step, f"{side}_run", f"{side}_r"))

@@ -117,3 +117,19 @@ def test_partners_stand_beyond_the_borders_of_tasks(spark, monkeypatch, tasks):
         near = [k for k in (i - 1, i + 1) if 0 <= k < 40]
         other = max(near, key=lambda k: (len(os.path.commonprefix([paths[i], paths[k]])), -k))
         assert got[i] == ("" if other // 2 == i // 2 else f"Menu {i // 2} ") + f"text of page {i}"
+
+
+def test_partners_are_no_copies(spark):
+    page = "<body><div>Site name, menu</div>{}<div>About us, footer</div></body>"
+    article = lambda k, last: "".join(f"<p>article {k} line {j}</p>" for j in range(9)) + f"<p>{last}</p>"
+    text = lambda k, last: " ".join(f"article {k} line {j}" for j in range(9)) + " " + last
+    rows = [(i, f"http://a.com/1?copy={i}", page.format(article(1, "end"))) for i in range(5)]
+    rows += [(i, f"http://a.com/2?near={i}", page.format(article(2, f"end {i}"))) for i in range(5, 30)]
+    rows += [(i, f"http://b.com/1?near={i}", page.format(article(3, f"end {i}"))) for i in range(30, 33)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in op9_main_text.extract(pages).collect()}
+    whole = {i: f"Site name, menu {text(3, f'end {i}')} About us, footer" for i in range(30, 33)}
+    assert got == {i: text(1, "end") for i in range(5)} | {i: text(2, f"end {i}") for i in range(5, 30)} | whole
+    # a page of little but what its partner has too keeps it
+    lines = [(op9_main_text.OTHER, t) for t in text(1, "end").split()]
+    assert op9_main_text.main_text(lines, lines[:-1]) == text(1, "end")
