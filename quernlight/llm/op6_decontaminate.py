@@ -9,7 +9,8 @@ seeds. Around each hit text and item are laid side by side on the hit's diagonal
 consecutive words of the item (all of them, if it has fewer) agree in at least AGREE.
 
 Nulls: null and empty texts and items match nothing. Items of fewer than 8 words are too short to tell from chance and
-match nothing. Repeated rows, ids and items: a result row for each pair of ids. Other columns are ignored.
+match nothing. Repeated rows, ids and items: a result row for each pair of ids, null ids too; a row is told by its id and
+the hash of its text, an item by its id and the md5 of its words. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
+def _raw(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _seeds(words: str, at: str) -> list[Column]:
     """The seed of each mask over the words from a place on."""
     return [F.xxhash64(F.lit(m), *[F.get(words, F.col(at) + j) for j, on in enumerate(mask) if on == "1"]) for m, mask in enumerate(SEEDS)]
@@ -47,40 +52,46 @@ def _places(texts: DataFrame, words: str) -> DataFrame:
     return placed.filter(F.col("pos") + min(map(len, SEEDS)) <= F.size(words)).withColumn("pair", F.xxhash64("word", F.get(words, F.col("pos") + 1))).drop("word")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, n_matched (words that agree in the best window), n_window, first_word (where the item would start; may be negative)."""
+def _scored(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """doc_id, raw (hash of the text), item_id, first_word, n_window, n_matched of each diagonal that overlaps."""
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("item"))
-    items = items.filter(F.size("item") >= SPAN).distinct()
+    items = items.filter(F.size("item") >= SPAN).distinct().withColumn("item_key", F.md5(F.concat_ws(" ", "item")))
     starts = _places(items, "item")
     whole = [F.when(F.col("pos") + len(mask) <= F.size("item"), seed) for mask, seed in zip(SEEDS, _seeds("item", "pos"))]
-    seeds = starts.select("item_id", F.size("item").alias("n_item"), F.col("pos").alias("place"), F.explode(F.array_compact(F.array(*whole))).alias("seed"))
+    seeds = starts.select("item_id", "item_key", F.size("item").alias("n_item"), F.col("pos").alias("place"), F.explode(F.array_compact(F.array(*whole))).alias("seed"))
     n_seeds, longest = (x or 0 for x in items.agg(F.sum(len(SEEDS) * (F.size("item") + 1) - sum(map(len, SEEDS))), F.max(F.size("item"))).first())
     small, bits = n_seeds <= BROADCAST_SEEDS, bitmap_bits(n_seeds, 64)
     pair_bits = bitmap(starts.select("pair"), bits)
     seed_bits = bitmap(seeds.select("seed"), bits)
 
-    split = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    split = docs.select(F.col(id_col).alias("doc_id"), _raw(text_col).alias("raw"), words_of(F.col(text_col)).alias("words"))
     likely = _places(split, "words").filter(in_bitmap(pair_bits, F.col("pair"), bits))
     # the words around a hit that the longest item could reach, and where they begin: a row must not carry its whole text
     hit, begin = [in_bitmap(seed_bits, seed, bits) for seed in _seeds("words", "pos")], F.greatest(F.col("pos") - longest, F.lit(0))
     near_hits = likely.filter(reduce(lambda a, b: a | b, hit)).select(
-        "doc_id", "pos", F.array(*_seeds("words", "pos")).alias("seeds"), begin.alias("begin"), F.slice("words", begin + 1, F.lit(2 * longest)).alias("around")
+        "doc_id", "raw", "pos", F.array(*_seeds("words", "pos")).alias("seeds"), begin.alias("begin"), F.slice("words", begin + 1, F.lit(2 * longest)).alias("around")
     )
-    found = near_hits.select("doc_id", "pos", "begin", "around", F.explode("seeds").alias("seed"))
+    found = near_hits.select("doc_id", "raw", "pos", "begin", "around", F.explode("seeds").alias("seed"))
     near = found.join(F.broadcast(seeds) if small else seeds, "seed").withColumn("first_word", F.col("pos") - F.col("place"))
     # the text's words that stand beside the item's, without those that the text hasn't: one row for all hits of a diagonal
     skipped = F.greatest(-F.col("first_word"), F.lit(0))
     beside = F.slice("around", F.greatest(F.col("first_word") - F.col("begin"), F.lit(0)) + 1, F.col("n_item") - skipped)
-    laid = near.select("doc_id", "item_id", "first_word", skipped.alias("skipped"), beside.alias("beside")).distinct()
-    laid = laid.join(F.broadcast(items) if small else items, "item_id")
+    laid = near.select("doc_id", "raw", "item_id", "item_key", "first_word", skipped.alias("skipped"), beside.alias("beside")).distinct()
+    texts = items.select("item_key", "item").dropDuplicates(["item_key"])
+    laid = laid.join(F.broadcast(texts) if small else texts, "item_key")
     agree = F.zip_with("beside", F.slice("item", F.col("skipped") + 1, F.size("beside")), lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
-    laid = laid.select("doc_id", "item_id", "first_word", F.least(F.size("item"), F.lit(WINDOW)).alias("n_window"), agree.alias("agree"))
+    laid = laid.select("doc_id", "raw", "item_id", "first_word", F.least(F.size("item"), F.lit(WINDOW)).alias("n_window"), agree.alias("agree"))
     width = F.least("n_window", F.size("agree"))
     sums = F.transform(F.sequence(F.lit(1), F.size("agree") - width + 1), lambda s: F.aggregate(F.slice("agree", s, width), F.lit(0), lambda a, x: a + x))
-    scored = laid.select("doc_id", "item_id", "first_word", "n_window", F.array_max(sums).alias("n_matched"))
+    scored = laid.select("doc_id", "raw", "item_id", "first_word", "n_window", F.array_max(sums).alias("n_matched"))
+    return scored.filter(F.col("n_matched") >= AGREE * F.col("n_window"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, n_matched (words that agree in the best window), n_window, first_word (where the item would start; may be negative)."""
     best = F.max(F.struct("n_matched", (-F.col("first_word")).alias("before"), "n_window"))
     return (
-        scored.filter(F.col("n_matched") >= AGREE * F.col("n_window"))
+        _scored(docs, benchmark, id_col, text_col, item_col, item_text_col)
         .groupBy("doc_id", "item_id")
         .agg(best.alias("best"))
         .select("doc_id", "item_id", F.col("best.n_matched").cast("long").alias("n_matched"), F.col("best.n_window").cast("long").alias("n_window"), (-F.col("best.before")).cast("long").alias("first_word"))
@@ -89,8 +100,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs less those that overlap an item."""
-    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti")
+    leaks = _scored(docs, benchmark, "doc_id", "text", "item_id", "text").select(F.col("doc_id").alias("__leak_id"), F.col("raw").alias("__leak")).distinct()
+    rows = docs.withColumn("__raw", _raw("text"))
+    same = rows["doc_id"].eqNullSafe(leaks["__leak_id"]) & (rows["__raw"] == leaks["__leak"])
+    return rows.join(leaks, same, "left_anti").drop("__raw")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

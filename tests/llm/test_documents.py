@@ -138,6 +138,15 @@ def test_overlaps_of_every_substitution_pattern(spark, docs_of):
     assert {(r["doc_id"], r["item_id"], r["n_matched"]) for r in rows} == pairs
 
 
+def test_only_rows_that_overlap_go(spark, docs_of):
+    a, b, clean = sentence(60, 30), sentence(61, 30), sentence(62, 30)
+    docs = docs_of([(None, a), (None, clean), (None, None), (1, "x " + b), (1, clean), (2, clean)])
+    benchmark = spark.createDataFrame([(None, a), (7, b), (None, sentence(63, 30))], "item_id long, text string")
+    kept = op6_decontaminate.without_overlaps(docs, benchmark)
+    assert kept.columns == docs.columns and sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())) == sorted([(0, clean), (0, ""), (1, clean), (2, clean)])
+    assert {(r["doc_id"], r["item_id"]) for r in op6_decontaminate.overlaps(docs, benchmark).collect()} == {(None, None), (1, 7)}
+
+
 def test_toxicity_on_held_out_rows(spark, docs_of):
     r = random.Random(4)
     texts, labels = [], []
