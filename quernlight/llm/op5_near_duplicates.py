@@ -186,6 +186,8 @@ def verify_buckets(members: DataFrame, threshold: float, shingle: int = SHINGLE)
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, size: int = ROWS) -> DataFrame:
     """doc_id, raw, node, class (a node of it) of every row of docs."""
+    if threshold < THRESHOLD:
+        raise ValueError(f"threshold {threshold}: bands and the least number of elements find all pairs from {THRESHOLD} on only")
     small_batches(docs.sparkSession)
     signed = stored(sign(split(docs, id_col, text_col), bands, size), "signed")
     keys = signed.filter("bands IS NOT NULL").select("node", "size", F.explode("bands").alias("band"))

@@ -72,6 +72,12 @@ def test_one_of_each_class_stays(docs_of):
     assert op5_near_duplicates.without_copies(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("run", [op5_near_duplicates.near_duplicates, op5_near_duplicates.without_copies])
+def test_thresholds_that_banding_would_miss_are_refused(docs_of, run):
+    with pytest.raises(ValueError, match="threshold 0.6"):
+        run(docs_of(["a", "b"]), threshold=0.6)
+
+
 def test_words_of_long_texts_are_hashed_in_parts(monkeypatch):
     texts = [sentence(1, 900), "", sentence(2, 3), "x" * 500, sentence(3, 2000)]
     raw = [t.encode() for t in texts]
