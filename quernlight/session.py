@@ -54,8 +54,10 @@ _SCRATCH: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir), or in a temporary one where that is unset."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); where it is unset, in a temporary one in local mode, an error elsewhere."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = _SCRATCH.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quernlight-"))
     return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
