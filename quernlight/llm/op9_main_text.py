@@ -1,39 +1,40 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages are put in order of host and path. A run is pages of a host that follow each other, each nearly the same as the
-one before; the nearest pages outside a page's run, before and after, are its neighbours, and of the two the one whose
-path shares the longer prefix is its partner (the earlier of equals). Both pages' text lines (blocks) are aligned by a
-longest common subsequence, and lines that both have are deleted.
-
-Differencing alone can't give right results: adverts and footers differ from page to page, and mirrored articles are all
-shared lines. So markup speaks first. Elements that hold no main text (menus, headers, footers, sidebars, notices,
-adverts, forms, comments, by their tag, role or class) are left out; where a page marks its article, that is the main
-text, and shared lines inside are kept. Where it doesn't, the lines that the partner shares are deleted, unless that
-would leave hardly anything (a mirrored page).
-
-Only the pages of hosts that have a page without a marked article are put in order (a bitmap of hosts may let a few more
-through). Their blocks are written once in order; a run that tasks cut is joined again by a page on each side of the cut, so partners
-don't depend on tasks. A host's only page, or only run, has no partner and keeps all its lines.
-Nulls: a null html is empty, a null url has no host and isn't paired. Empty pages give an empty text. Very long pages are
-read whole, their alignment in bounded memory. Equal urls (ties) go by page_id; repeated rows each get a row. Other
-columns are ignored.
+Every page is split into text lines (blocks), menus and footers included, and put in order of host and path. A run is
+pages of a host that follow each other, each nearly the same as the one before; the nearest pages outside a page's run,
+before and after, are its neighbours, and of the two the one whose path shares the longer prefix is its partner (the
+earlier of equals). Both pages' lines are aligned by a longest common subsequence, and lines that both have are deleted.
+
+Markup is the guard, in both directions. Shared lines inside a marked article stay, as mirrored articles are all shared
+lines; and where differencing would leave hardly anything of a page without one (a mirrored page), its lines stay too.
+Of the lines that are left, those in elements that hold no main text (menus, headers, footers, sidebars, notices,
+adverts, forms, comments, by their tag, role or class) go, because adverts and footers differ from page to page and no
+neighbour shares them; where an article is marked, so does all that stands outside it.
+
+Lines are compared by 64-bit hashes, so only hashes are put in order; a page's text meets its deletions in one join by a
+128-bit hash of the row. A run that tasks cut is joined again by a page on each side of the cut, so results don't depend
+on the number of tasks. A host's only page, or only run, has no partner and keeps all its lines.
+
+Nulls: a null html is empty, a null url has no host and no partner. Empty pages give an empty text, empty tables no
+rows. Very long pages are read whole, their alignment in bounded memory. Equal urls (ties) go by page_id, then by
+content; repeated rows each get a row. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
-import itertools
 import os.path
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_bits, in_bitmap, small_batches, stored, table
+from .common import drop_stored, small_batches, stored, table
 from .lcs import common
 from .op2_url_filter import host_and_path
 
@@ -100,8 +101,8 @@ def _region(tag: str, attrs: str, now: int) -> int:
     return max(now, region)
 
 
-def blocks(page: str) -> list[tuple[int, str]]:
-    """(region, text) of each block, in page order, without those that hold no main text."""
+def lines_of(page: str) -> list[tuple[int, str]]:
+    """(region, text) of each block, in page order."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open elements and the region inside each
     region, buffer, at = OTHER, [], 0
@@ -118,12 +119,12 @@ def blocks(page: str) -> list[tuple[int, str]]:
         region = stack[-1][1] if stack else OTHER
 
     for token in _TOKEN.finditer(page):
-        if region >= OTHER and token.start() > at:
+        if token.start() > at:
             buffer.append(entities.unescape(page[at : token.start()]))
         at = token.end()
         tag = token["tag"] or token["tag2"]
         if tag is None:
-            if token["raw"] and token["raw"].lower() not in SILENT and region >= OTHER:
+            if token["raw"] and token["raw"].lower() not in SILENT:
                 buffer.append(" ")
             continue
         tag = tag.lower()
@@ -162,31 +163,48 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if not (token["attrs"] or "").endswith("/") or tag not in INLINE:
             stack.append((tag, inside))
             region = inside
-    if region >= OTHER and at < len(page):
+    if at < len(page):
         buffer.append(entities.unescape(page[at:]))
     flush()
     return out
 
 
+def blocks(page: str) -> list[tuple[int, str]]:
+    """lines_of() without those that hold no main text."""
+    return [x for x in lines_of(page) if x[0] >= OTHER]
+
+
+def best_of(regions: Sequence[int]) -> int | None:
+    """The region that holds the main text, if any does."""
+    return max((r for r in regions if r >= OTHER), default=None)
+
+
+def deleted(regions: Sequence[int], sizes: Sequence[int], lines: Sequence, partner: Sequence) -> list[int]:
+    """Places of the lines that differencing deletes: those that the partner shares and markup doesn't guard."""
+    best, shared = best_of(regions), [i for i, _ in common(lines, partner)]
+    if best is not None:
+        own = [i for i, r in enumerate(regions) if r >= OTHER]
+        mirrored = sum(sizes[i] for i in shared if regions[i] >= OTHER) >= NEARLY * sum(sizes[i] for i in own)
+        if best >= MAIN or mirrored or not {i for i in own if regions[i] == best} - set(shared):
+            return [i for i in shared if regions[i] != best]
+    return shared
+
+
 def main_text(own: list[tuple[int, str]], partner: list[tuple[int, str]] | None) -> str:
-    """The page's main text: its marked article, or else the lines that its partner doesn't share."""
-    best = max((r for r, _ in own), default=OTHER)
-    kept = [t for r, t in own if r == best]
-    if best < MAIN and partner:
-        lines = [t for _, t in own]
-        shared = {i for i, _ in common(lines, [t for _, t in partner])}
-        if sum(len(lines[i]) for i in shared) < NEARLY * sum(map(len, lines)):
-            kept = [t for i, (r, t) in enumerate(own) if r == best and i not in shared] or kept
-    return " ".join(kept)
+    """The page's main text, from the lines (region, text) of it and of its partner, if it has one."""
+    regions, lines = [r for r, _ in own], [t for _, t in own]
+    best, gone = best_of(regions), set(deleted(regions, [*map(len, lines)], lines, [t for _, t in partner])) if partner else set()
+    return " ".join(t for i, (r, t) in enumerate(own) if r == best and i not in gone)
 
 
-def alike(a: Sequence[str], b: Sequence[str]) -> bool:
-    """Whether pages of these lines are nearly the same."""
-    shared = sum(len(t) * n for t, n in (Counter(a) & Counter(b)).items())
-    return shared >= NEARLY * max(sum(map(len, a)), sum(map(len, b)))
+def alike(a: Sequence, sizes_a: Sequence[int], b: Sequence, sizes_b: Sequence[int]) -> bool:
+    """Whether pages of these lines, with these numbers of characters, are nearly the same."""
+    shared = Counter(a) & Counter(b)
+    size = dict(zip(a, sizes_a))
+    return sum(size[x] * n for x, n in shared.items()) >= NEARLY * max(sum(sizes_a), sum(sizes_b))
 
 
-def _nearest(path: str, before, after):
+def nearest(path: str, before: tuple | None, after: tuple | None) -> tuple | None:
     """Of the neighbours (path, lines) the one with the longer common path prefix."""
     if before is None or after is None:
         return before or after
@@ -194,17 +212,15 @@ def _nearest(path: str, before, after):
     return before if share(before) >= share(after) else after
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _packed(rows: Iterator[tuple], schema: pa.Schema, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """rows, each with its size at the end, in batches."""
-    done: list[tuple] = []
-    size = 0
+    done, size = [], 0
     for *row, n in rows:
         done.append(row)
         size += n
-        if len(done) >= 1000 or size > 1 << 22:
+        if len(done) >= 1000 or size > most:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
-            done.clear()
-            size = 0
+            done, size = [], 0
     if done:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
 
@@ -215,74 +231,107 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
             yield [c[k].as_py() for c in batch.columns]
 
 
-BLOCKS = [("host", pa.string()), ("path", pa.string()), ("regions", pa.list_(pa.int32())), ("lines", pa.list_(pa.string()))]
-BLOCKS_SQL = "host string, path string, regions array<int>, lines array<string>"
+def _hash(line: str) -> int:
+    h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    """rows: page_id, url, host, path, html. The same with regions and lines of the blocks for html."""
-    id_kind, url_kind = (rows.schema[c].dataType.simpleString() for c in ("page_id", "url"))
+PAGE = [("a", pa.int64()), ("b", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("regions", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("lines", pa.list_(pa.int64()))]
+PAGE_SQL = "a long, b long, host string, path string, regions array<int>, sizes array<int>, lines array<long>"
+#: What a record of the pages in order is: a page with its deletions, a page whose neighbours stand in another task, and
+#: the first or last page of a run that such a page may need.
+DONE, OPEN, FIRST, LAST = range(4)
+PLACED = [("kind", pa.int32()), ("task", pa.int32()), ("run", pa.int32()), *PAGE, ("gone", pa.list_(pa.int32()))]
+PLACED_SQL = f"kind int, task int, run int, {PAGE_SQL}, gone array<int>"
+#: Lines of a run's pages that wait for the page after it; pages beyond are resolved by a join.
+MOST_WAITING = 2_000_000
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            schema = pa.schema([*list(batch.schema)[:2], *BLOCKS])
-
-            def made():
-                for key, url, host, path, page in _rows([batch]):  # noqa: B023
-                    found = blocks(page)
-                    yield key, url, host, path, [r for r, _ in found], [t for _, t in found], sum(len(t) for _, t in found)
-
-            yield from _batches(made(), schema)
 
-    return rows.mapInArrow(split, f"page_id {id_kind}, url {url_kind}, {BLOCKS_SQL}")
+def _hashed(rows: DataFrame) -> DataFrame:
+    """rows: page_id, url, a, b, host, path, html. The first two, and PAGE."""
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("page_id", "url")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
 
-def _in_order(parts: DataFrame) -> DataFrame:
-    """The columns of parts, task, run (number of it in the task), first, last (of the run, in the task)."""
-    id_kind, url_kind = (parts.schema[c].dataType.simpleString() for c in ("page_id", "url"))
+            def made():
+                for *key, page in _rows([batch]):  # noqa: B023
+                    found = lines_of(page)
+                    yield *key, [r for r, _ in found], [len(t) for _, t in found], [_hash(t) for _, t in found], len(page)
+
+            yield from _packed(made(), pa.schema([*list(batch.schema)[:2], *PAGE]))
+
+    return rows.select("page_id", "url", "a", "b", "host", "path", "html").mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, {PAGE_SQL}")
+
+
+def place(rows: Iterator[list], task: int, most: int = MOST_WAITING) -> Iterator[tuple]:
+    """rows: of PAGE, in order. Records of PLACED."""
+    sent: set = set()
+    before, last, run, waiting, n, late = None, None, 0, [], 0, True  # late: the run's pages can't be done here
+
+    def edge(kind: int, at: int, page: list):
+        if (kind, at) not in sent:
+            sent.add((kind, at))
+            yield kind, task, at, *page, None
+
+    def near(page: list, other: list | None) -> tuple | None:
+        return (other[3], other[6]) if other is not None and other[2] == page[2] else None
+
+    def close(after: list | None):
+        for page in waiting:
+            if late or after is None:
+                yield OPEN, task, run, *page, None
+            else:
+                partner = nearest(page[3], near(page, before), near(page, after))
+                yield DONE, task, run, *page[:2], None, None, None, None, None, deleted(*page[4:7], partner[1]) if partner else []
+        if late or after is None:
+            if before is not None:
+                yield from edge(LAST, run - 1, before)
+            if after is not None:
+                yield from edge(FIRST, run + 1, after)
+        waiting.clear()
+
+    for now in rows:
+        if last is None:
+            yield from edge(FIRST, 0, now)
+        elif now[2] != last[2] or not alike(now[6], now[5], last[6], last[5]):
+            yield from close(now)
+            before, run, n, late = last, run + 1, 0, False
+        waiting.append(now)
+        n += len(now[6]) + 1
+        if n > most:  # the run is too long to wait for its end
+            for page in waiting:
+                yield OPEN, task, run, *page, None
+            waiting.clear()
+            late, n = True, 0
+        last = now
+    if last is not None:
+        yield from edge(LAST, run, last)
+        yield from close(None)
+
+
+def _in_order(pages: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = place(_rows(batches), TaskContext.get().partitionId())
+        yield from _packed(((*r, 12 * len(r[9] or ()) + 200) for r in rows), pa.schema(PLACED))
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, schema = TaskContext.get().partitionId(), []
+    order = ("host", "path", "page_id", "url", "a", "b", "salt")
+    dealt = pages.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(dealt.select(*(c for c, _ in PAGE)).mapInArrow(run, PLACED_SQL), "pages")
 
-        def rows():
-            for batch in batches:
-                schema[:] = list(batch.schema)[:2]
-                yield from _rows([batch])
 
-        def made():
-            last, run, first = None, 0, True
-            for now in rows():
-                if last is not None:
-                    new = not now[2] or now[2] != last[2] or not alike(now[5], last[5])
-                    yield *last, task, run, first, new, sum(map(len, last[5]))
-                    run, first = run + new, new
-                last = now
-            if last is not None:
-                yield *last, task, run, first, True, sum(map(len, last[5]))
-
-        found = made()
-        if (one := next(found, None)) is not None:
-            extra = [("task", pa.int32()), ("run", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())]
-            yield from _batches(itertools.chain([one], found), pa.schema([*schema, *BLOCKS, *extra]))
-
-    order = ("host", "path", "page_id", "url")
-    own = f"page_id {id_kind}, url {url_kind}, {BLOCKS_SQL}"
-    dealt = parts.repartitionByRange(*order).sortWithinPartitions(*order)
-    return stored(dealt.mapInArrow(number, f"{own}, task int, run int, first boolean, last boolean"), "pages")
-
-
-def _across(ordered: DataFrame) -> DataFrame:
-    """task, and where the runs before its first run and after its last one are: before_task, before_run, after_task, after_run (null: none)."""
-    spark = ordered.sparkSession
-    runs = dict(map(tuple, ordered.groupBy("task").agg(F.max("run") + 1).collect()))
+def _across(placed: DataFrame) -> DataFrame:
+    """task, and where the runs before its first run and after its last one are: last_run, before_task, before_run, after_task, after_run (null: none)."""
+    spark = placed.sparkSession
+    runs = dict(map(tuple, placed.filter(F.col("kind") == OPEN).groupBy("task").agg(F.max("run") + 1).collect()))  # a row a task
     tasks = sorted(runs)
     cuts = spark.createDataFrame([(a, runs[a] - 1, b) for a, b in zip(tasks, tasks[1:])], "task int, run int, next int")
-    above = ordered.filter("last").join(F.broadcast(cuts), ["task", "run"]).select("next", F.col("host").alias("host"), F.col("lines").alias("above"))
-    below = ordered.filter("first AND run = 0").select(F.col("task").alias("next"), F.col("host").alias("own"), F.col("lines").alias("below"))
+    above = placed.filter(F.col("kind") == LAST).join(cuts, ["task", "run"]).select("next", F.col("host").alias("above_host"), F.col("lines").alias("above"), F.col("sizes").alias("above_sizes"))
+    below = placed.filter((F.col("kind") == FIRST) & (F.col("run") == 0)).select(F.col("task").alias("next"), "host", "lines", "sizes")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"next": pa.array([r[0] for r in _rows([batch]) if r[1] and r[1] == r[3] and alike(r[2], r[4])], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"next": pa.array([r[0] for r in _rows([batch]) if r[1] == r[4] and alike(r[2], r[3], r[5], r[6])], pa.int32())})
 
     joined = {r[0] for r in above.join(below, "next").mapInArrow(same, "next int").collect()}
     before: dict = {}
@@ -294,45 +343,70 @@ def _across(ordered: DataFrame) -> DataFrame:
     return spark.createDataFrame([(t, runs[t] - 1, *(before.get(t) or (None, None)), *(after.get(t) or (None, None))) for t in tasks], "task int, last_run int, before_task int, before_run int, after_task int, after_run int")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    small_batches(pages.sparkSession)
-    host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(host, F.lit("")).alias("host"), path.alias("path"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    parts = _split(rows)
-    marked = F.coalesce(F.array_max("regions"), F.lit(OTHER)) >= MAIN
-    alone = marked | (F.col("host") == "")
-    out = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string, n_chars long"
+def _resolved(placed: DataFrame) -> DataFrame:
+    """a, b and gone of the open pages: their runs' neighbours, looked up once a run, are joined to them."""
+    open_ = placed.filter(F.col("kind") == OPEN)
+    runs = open_.select("task", "run").distinct().join(_across(placed), "task")
+    inner, last = F.col("run") > 0, F.col("run") < F.col("last_run")
+    runs = runs.select(
+        "task", "run",
+        F.when(inner, F.col("task")).otherwise(F.col("before_task")).alias("before_t"), F.when(inner, F.col("run") - 1).otherwise(F.col("before_run")).alias("before_r"),
+        F.when(last, F.col("task")).otherwise(F.col("after_task")).alias("after_t"), F.when(last, F.col("run") + 1).otherwise(F.col("after_run")).alias("after_r"),
+    )
+    for side, kind in (("before", LAST), ("after", FIRST)):
+        edge = placed.filter(F.col("kind") == kind).select(F.col("task").alias(f"{side}_t"), F.col("run").alias(f"{side}_r"), *[F.col(c).alias(f"{side}_{c}") for c in ("host", "path", "lines")])
+        runs = runs.join(edge, [f"{side}_t", f"{side}_r"], "left")
+    sides = [f"{side}_{c}" for side in ("before", "after") for c in ("host", "path", "lines")]
+    runs = stored(runs.select("task", "run", *sides), "neighbours", small=True)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made():
+            for a, b, host, path, regions, sizes, lines, *sides in _rows(batches):
+                before, after = [(p, t) if h is not None and h == host else None for h, p, t in (sides[:3], sides[3:])]
+                partner = nearest(path, before, after)
+                yield a, b, deleted(regions, sizes, lines, partner[1]) if partner else [], 100
+
+        yield from _packed(made(), pa.schema([PAGE[0], PAGE[1], PLACED[-1]]))
+
+    return open_.join(runs, ["task", "run"]).select(*(c for c, _ in PAGE), *sides).mapInArrow(decide, "a long, b long, gone array<int>")
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    """page_id, url, a, b, texts of the lines that may be main text, their places, and the number of all lines."""
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("page_id", "url")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            schema = pa.schema([*list(batch.schema)[:2], ("text", pa.string()), ("n_chars", pa.int64())])
 
             def made():
-                for key, url, path, regions, lines, *near in _rows([batch]):  # noqa: B023
-                    partner = _nearest(path, *[(p, t) if p is not None else None for p, t in zip(near[::2], near[1::2])]) if near else None
-                    text = main_text(list(zip(regions, lines)), [(OTHER, t) for t in partner[1]] if partner else None)
-                    yield key, url, text, len(text), len(text)
-
-            yield from _batches(made(), schema)
-
-    columns = ["page_id", "url", "path", "regions", "lines"]
-    sure = parts.filter(alone).select(*columns).mapInArrow(run, out)
-    hosts = stored(parts.filter(~alone).select(F.xxhash64("host").alias("h")).distinct(), "hosts", small=True)
-    if not (n := hosts.count()):
-        return sure
-    bits = bitmap_bits(n)
-    ordered = _in_order(_split(rows.filter((F.col("host") != "") & in_bitmap(bitmap(hosts, bits), F.xxhash64("host"), bits))))
-    placed = ordered.filter(~marked).join(F.broadcast(_across(ordered)), "task").select("*", *[
-        F.when(inner, here).otherwise(F.col(there)).alias(name)
-        for inner, step, side in ((F.col("run") > 0, -1, "before"), (F.col("run") < F.col("last_run"), 1, "after"))
-        for here, there, name in ((F.col("task"), f"{side}_task", f"{side}_t"), (F.col("run") + step, f"{side}_run", f"{side}_r"))
-    ])
-    for side, edge in (("before", "last"), ("after", "first")):
-        near = ordered.filter(edge).select(F.col("task").alias(f"{side}_t"), F.col("run").alias(f"{side}_r"), F.col("host").alias(f"{side}_host"), F.col("path").alias(f"{side}_path"), F.col("lines").alias(f"{side}_lines"))
-        placed = placed.join(near, [f"{side}_t", f"{side}_r"], "left")
-    fits = [F.when((F.col("host") != "") & (F.col("host") == F.col(f"{side}_host")), F.col(f"{side}_{c}")).alias(f"{side}_{c}") for side in ("before", "after") for c in ("path", "lines")]
-    return sure.unionAll(placed.select(*columns, *fits).mapInArrow(run, out))
+                for *key, page in _rows([batch]):  # noqa: B023
+                    found = lines_of(page)
+                    best = best_of([r for r, _ in found])
+                    mine = [(i, t) for i, (r, t) in enumerate(found) if r == best]
+                    yield *key, [t for _, t in mine], [i for i, _ in mine], len(found), len(page)
+
+            yield from _packed(made(), pa.schema([*list(batch.schema)[:4], ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("n_lines", pa.int64())]))
+
+    return rows.select("page_id", "url", "a", "b", "html").mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, a long, b long, texts array<string>, places array<int>, n_lines long")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, text, n_chars, n_lines (of the whole page) and n_deleted (by differencing) of every page."""
+    small_batches(pages.sparkSession)
+    host, path = host_and_path(F.col(url_col))
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = own.select("*", *[F.xxhash64(F.lit(k), F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url", "html").alias(name) for k, name in enumerate("ab")])
+    # rows that are equal in all else are dealt out by a salt, so that no task gets them all
+    lines = stored(_hashed(rows.filter(F.col("host") != "")).withColumn("salt", F.monotonically_increasing_id()), "lines")
+    placed = _in_order(lines)
+    found = placed.filter(F.col("kind") == DONE).select("a", "b", "gone").unionAll(_resolved(placed))
+    gone = stored(found.groupBy("a", "b").agg(F.first("gone").alias("gone")), "deleted", small=True)
+    drop_stored(lines, placed)
+    joined, none = _texts(rows).join(gone, ["a", "b"], "left"), F.array().cast("array<int>")
+    kept = F.filter(F.arrays_zip("places", "texts"), lambda x: ~F.array_contains(F.coalesce("gone", none), x["places"]))
+    return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["texts"]), " ").alias("text"), "n_lines", F.size(F.coalesce("gone", none)).cast("long").alias("n_deleted")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_deleted"
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
