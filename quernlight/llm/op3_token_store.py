@@ -4,8 +4,11 @@ write_store() deals the documents out by ranges of their id, so that shard after
 its documents once and packs them into containers (see dac.py), which Spark's committer writes as Parquet rows.
 read_store() gives every document back with its place in the whole stream.
 
-Nulls: a null text is an empty one; null ids come first. Repeated ids are kept, ordered by their texts. A document
-longer than a container gets a container of its own. Empty tables give an empty store. Other columns are ignored.
+Nulls: a null text is an empty one; null ids come first. Ids are whole numbers or text that reads as such (other text is
+an error of the cast). Repeated ids are kept, ordered by the first BEGINNING characters of their texts, then by the hash
+of the whole; repeated rows each get a place, and may be dealt to several tasks. A very long text is encoded whole, and a
+document longer than a container gets a container of its own. Empty tables give an empty store. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from . import dac
 from .common import WRITING, shared_path, small_batches, table
 
 CONTAINER_IDS = 1 << 20
+#: Characters of texts by which rows of one id are put in order.
+BEGINNING = 64
 #: Chunks longer than this are encoded without being remembered; at most MEMO chunks are remembered by a worker.
 LONGEST, MEMO = 48, 600_000
 #: Where no normal form and no lower case depends on what stands beside, a text is cut into letters that follow and
@@ -117,7 +122,10 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
             yield container()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(pack, STORE).write.options(**WRITING).parquet(path)
+    # one id may have any number of rows: they are dealt out by how their texts begin, by their texts' hash, and by a salt
+    order = ["id", F.substring("text", 1, BEGINNING), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    dealt.mapInArrow(pack, STORE).write.options(**WRITING).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
