@@ -3,11 +3,13 @@
 A rank file becomes a BPE model whose merges are, for each token by rank, all of its splits into two tokens; bytes
 stand for characters by the byte-level table, as the library's ByteLevel step maps them. Text is first cut where the
 pattern must cut too (before white space that follows other characters), so that cuts can be remembered; each match of
-the pattern is encoded by itself. Decoding reverses the table to bytes; characters split between tokens come out whole
-because bytes, not strings, are joined.
+the pattern is encoded by itself. Decoding looks the tokens' characters up in the model's vocabulary and reverses the
+byte table; characters split between tokens come out whole because bytes, not strings, are put together at the end.
 
-Nulls: a null text is an empty one, a null id list decodes to nothing; empty texts give no ids. Very long matches are
-encoded but not remembered. Repeated rows and ids stay as they are, other columns are ignored.
+Nulls: a null text is an empty one, a null id list decodes to nothing; empty texts give no ids. Ids of documents are
+whole numbers or text that reads as such (other text is an error of the cast). Very long texts are encoded whole, very
+long matches of the pattern aren't remembered. Repeated rows and ids (ties) stay as they are, each with its own row.
+Empty tables give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,7 +60,8 @@ class Codec:
             merges += [(named[a], named[b]) for a, b in sorted(parts, key=lambda p: (ranks[p[0]], ranks[p[1]]))]
         self.model = models.BPE({named[t]: r for t, r in ranks.items()}, merges, ignore_merges=True)
         self.table = dict(enumerate(chars))
-        self.bytes_of = {r: t for t, r in ranks.items()}
+        self.back = {ord(c): b for b, c in enumerate(chars)}
+        self.token = {r: named[t] for t, r in ranks.items()}
         self.cut, self.match = re.compile(_CUT).findall, regex.compile(pattern).findall
         self.memo = Memo(self._encode_cut)
 
@@ -71,15 +74,23 @@ class Codec:
         return b"".join(map(self.memo.__getitem__, self.cut(text)))
 
     def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """First and last-but-one character of each token; tokens that split a character both cover it."""
-        ends = np.cumsum([len(self.bytes_of[i]) for i in np.frombuffer(ids, "<u4").tolist()], dtype=np.int64)
+        """First character of each token, and the one after its last; tokens that split a character both cover it."""
+        ends = np.cumsum([len(self.token[i]) for i in np.frombuffer(ids, "<u4").tolist()], dtype=np.int64)
         raw = np.frombuffer(text.encode(), np.uint8)
         char = np.cumsum((raw & 0xC0) != 0x80) - 1
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         return (char[starts], char[ends - 1] + 1) if len(ends) else (ends, ends)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes that the tokens' characters stand for."""
+        return "".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).translate(self.back).encode("latin-1")
+
+    def split_tokens(self, text: str, ids: bytes) -> int:
+        """Tokens that begin inside a character."""
+        if text.isascii():
+            return 0
+        starts = np.cumsum([0, *(len(self.token[i]) for i in np.frombuffer(ids, "<u4").tolist())][:-1], dtype=np.int64)
+        return int(((np.frombuffer(text.encode(), np.uint8)[starts] & 0xC0) == 0x80).sum())
 
 
 @lru_cache(maxsize=2)
@@ -127,16 +138,16 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str = public_tokenizers.P
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """encode() and decode() in one pass: number of ids, and digests of the ids and of the bytes they decode to."""
+    """encode() and decode() in one pass: number of ids, digests of the ids and of the bytes they decode to, and tokens that begin inside a character."""
 
     def each(keys, texts):
         c = codec(ranks_path, pattern)
         ids = [c.encode(t) for t in texts]
-        return [keys, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(c.decode(i)).hexdigest() for i in ids]), *[pa.array(ids, pa.binary())] * with_ids]
+        return [keys, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(c.decode(i)).hexdigest() for i in ids]), pa.array([c.split_tokens(t, i) for t, i in zip(texts, ids)], pa.int64()), *[pa.array(ids, pa.binary())] * with_ids]
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *[("token_ids", pa.binary())] * with_ids])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_split", pa.int64()), *[("token_ids", pa.binary())] * with_ids])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return _mapped(rows, each, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids binary" * with_ids)
+    return _mapped(rows, each, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long" + ", token_ids binary" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
