@@ -7,14 +7,16 @@ the components of the links. 32 bands of 6 rows miss a pair at 0.8 with probabil
 
 Two rounds keep large groups from being written out as pairs. First each node is verified against one node, the most
 central of its buckets' most central members (central: much of its buckets' company). Then every bucket that still holds
-more than one component is verified whole: its members are dealt into blocks of bounded size, each pair of blocks goes
-to a task, which computes all similarities of the two at once and returns no more links than join its components.
+more than one component is verified whole: its members are dealt into blocks of bounded size, each pair of blocks (but
+those of the bucket's largest component alone) goes to a task, which computes all similarities of the two at once and
+returns no more links than join its components.
 Nothing is capped: any pair that shares a band ends in one component, or has been verified and found less alike.
 
 Nulls: a null text is an empty one. Texts of fewer than eight words have too few elements to differ and reach 0.8, so
 they are alike only if their words are the same; texts without words, if they are equal. Repeated rows and ids are
-copies; a null id is a document too, and a class's id is its smallest that isn't null. Empty tables give no rows. Node
-numbers are 64-bit hashes of the words' md5. Other columns are ignored.
+copies; a null id is a document too, and a class's id is its smallest that isn't null. Very long texts are signed and
+verified whole, their words hashed in parts. Empty tables give no rows. Node numbers are 64-bit hashes of the words' md5.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,7 +89,8 @@ def sign(rows: DataFrame, bands: int = BANDS, size: int = ROWS, shingle: int = S
 
 def words_of_nodes(nodes: DataFrame, n: int, signed: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """node and words of the given nodes (about n of them). Other texts, all but a few, stay out of the exchange."""
-    raws = signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("raw").alias("raw")).select("raw")
+    # copies are summed up before the join, so that a node of many rows is one row there
+    raws = signed.groupBy("node").agg(F.min("raw").alias("raw")).join(nodes, "node", "left_semi").select("raw")
     bits = bitmap_bits(n, 16)
     likely = docs.select(text_col).filter(in_bitmap(bitmap(raws, bits), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), bits))
     found = split(likely.withColumn("__id", F.lit(0)), "__id", text_col)
@@ -138,11 +141,20 @@ def _joined(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
     return kept
 
 
-def verify_buckets(members: DataFrame, threshold: float, shingle: int = SHINGLE) -> DataFrame:
-    """members: band, node, root, size, words. Links (a, b) that join the components within each bucket."""
-    sizes = members.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "band").withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
-    pairs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+def verify_buckets(members: DataFrame, words: DataFrame, threshold: float, shingle: int = SHINGLE) -> DataFrame:
+    """members: band, node, root, size; words: of each node. Links (a, b) that join the components within each bucket.
+
+    A bucket's members are dealt into blocks, those of its largest component apart from the others. Two blocks of the
+    largest component need no look, so n members of which m are outside it give about n * m / BLOCK_MEMBERS rows.
+    """
+    groups = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    whole = groups.groupBy("band").agg(F.max(F.struct("n", "root", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_MEMBERS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    dealing = stored(whole.select("band", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.bytes")).alias("first"), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("rest")), "dealing", small=True)
+    dealt = members.join(dealing, "band").join(words, "node").withColumn("is_main", F.col("root") == F.col("main"))
+    own = F.when(F.col("is_main"), F.pmod(F.hash("node"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.hash("node"), F.col("rest")))
+    others = F.sequence(F.when(F.col("is_main"), F.col("first")).otherwise(F.lit(0)), F.col("first") + F.col("rest") - 1)
+    pairs = dealt.select("band", "node", "root", "words", own.alias("own"), F.explode(others).alias("other"))
     keyed = pairs.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "words")
 
     def links(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +193,9 @@ def verify_buckets(members: DataFrame, threshold: float, shingle: int = SHINGLE)
         close()
         yield packed()
 
-    return stored(keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long"), "links")
+    made = stored(keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long"), "links")
+    drop_stored(dealing)
+    return made
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, size: int = ROWS) -> DataFrame:
@@ -193,41 +207,46 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     keys = signed.filter("bands IS NOT NULL").select("node", "size", F.explode("bands").alias("band"))
     shared = stored(keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band"), "shared", small=True)
     bits = bitmap_bits(shared.count(), 16)
-    members = stored(keys.filter(in_bitmap(bitmap(shared, bits), F.col("band"), bits)).join(shared, "band", "left_semi").groupBy("band", "node").agg(F.max("size").alias("size")), "members", small=True)
+    # copies are summed up first; then, and below, a bucket of very many nodes meets a written table, so that a join can split it
+    likely = keys.filter(in_bitmap(bitmap(shared, bits), F.col("band"), bits)).groupBy("band", "node").agg(F.max("size").alias("size"))
+    members = stored(likely.join(shared, "band", "left_semi"), "members", small=True)
 
-    company = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    company = stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "company", small=True)
     central = members.join(company, "band").groupBy("node").agg(F.sum("n").alias("company"))
-    placed = members.join(central, "node")
-    leaders = placed.groupBy("band").agg(F.max(F.struct("company", "node")).alias("leader"))
+    placed = stored(members.join(central, "node").select("band", "node", "company"), "placed", small=True)
+    leaders = stored(placed.groupBy("band").agg(F.max(F.struct("company", "node")).alias("leader")), "leaders", small=True)
     first = placed.join(leaders, "band").filter("node <> leader.node").groupBy("node").agg(F.max("leader").alias("leader"))
     pairs = first.select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
-    nodes = members.select("node").distinct()
+    nodes = stored(members.select("node").distinct(), "nodes", small=True)
     words = words_of_nodes(nodes, nodes.count(), signed, docs, text_col)
     links = verify(pairs, words, threshold)
     roots = components(links)
 
     # buckets that still hold more than one component
-    known = members.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    more = verify_buckets(known.join(mixed, "band").join(words, "node"), threshold)
+    known = stored(members.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root")), "known", small=True)
+    mixed = stored(known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band"), "mixed", small=True)
+    more = verify_buckets(known.join(mixed, "band"), words, threshold)
     if not more.isEmpty():
         drop_stored(roots)
         roots = components(links.unionAll(more))
-    drop_stored(shared, members, words, links, more)
+    drop_stored(shared, members, company, placed, leaders, nodes, words, links, known, mixed, more)
     return signed.select("doc_id", "raw", "node").join(roots, "node", "left").select("doc_id", "raw", "node", F.coalesce("root", "node").alias("class"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its class) of every row of docs."""
     found = classes(docs, id_col, text_col, threshold)
-    ids = found.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return found.join(ids, "class").select("doc_id", "class_id")
+    # only classes of more than one row are joined, as a written table, so that a class of very many rows can be split
+    ids = found.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("class", "class_id", F.lit(True).alias("many"))
+    ids = stored(ids, "classes", small=True)
+    return found.join(ids, "class", "left").select("doc_id", F.when(F.col("many"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class: that of the smallest doc_id (and hash of its text, among equal ids)."""
     found = classes(docs, id_col, text_col, threshold)
-    kept = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.raw").alias("__kept"))
+    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("k"))
+    kept = stored(best.select(F.col("k.doc_id").alias("__id"), F.col("k.raw").alias("__kept")), "kept", small=True)
     rows = docs.withColumn("__raw", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__raw"] == kept["__kept"])
     return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__raw"]).drop("__raw")
