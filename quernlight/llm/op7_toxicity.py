@@ -4,18 +4,23 @@ A document's features are the n-grams of 3 to 5 characters of its lower-cased wo
 word, present or not, hashed to 2^22 places. On labelled rows the log ratio of a feature's smoothed share among label-1
 and among label-0 rows scales it; logistic regression with an L2 penalty weighs the scaled features, and sums of
 weights that haven't seen a row, fitted on three quarters of the others, are mapped to probabilities; the weights that
-are kept are fitted on all.
+are kept are fitted on all. Features whose shares under the two labels lie within APART standard errors of each other
+don't count, nor those beyond the furthest FEATURES: both bound the model, and are parameters of this module.
 
 Training takes at most MAX_PER_LABEL labelled rows of each label, those with the smallest hash of their id: a bounded,
-repeatable sample. Labels, languages, sources and ids are never inputs of a score. Every whole text is scored.
+repeatable sample. Their n-grams are hashed where the rows are; the driver gets numbers, of a bounded number of rows.
+Labels, languages, sources and ids are never inputs of a score. Every whole text is scored.
 
 Nulls: a null text is an empty one; empty texts score by the intercept alone; null labels and null ids don't train.
-Repeated rows each count and each get a row. With no labels, or only one, every score is that label's share (0 if none).
-Other columns are ignored.
+Repeated rows each get a row, and train once; an id of several texts trains with each, ordered by their hash, as far as
+the bound goes; an id with both labels trains under both. Very long texts are read whole, one at a time. With no labels,
+or only one, every score is that label's share (0 if none). Empty tables give no rows. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -158,14 +163,13 @@ def _fit(found: list[np.ndarray], y: np.ndarray, part: np.ndarray, penalty: floa
     return Model(places, w * ratio, b)
 
 
-def train(texts: list[str], labels: np.ndarray, share: float | None = None, steps: int = 200, penalty: float = 3e-3) -> Model:
-    """share: of label 1 among all labelled rows, which a sample of even labels does not show."""
+def train(found: list[np.ndarray], labels: np.ndarray, share: float | None = None, steps: int = 200, penalty: float = 3e-3) -> Model:
+    """found: features() of each row. share: of label 1 among all labelled rows, which a sample of even labels does not show."""
     y = np.asarray(labels, float)
     share = float(y.mean()) if share is None and len(y) else share or 0.0
     if len(set(y.tolist())) < 2:
         p = min(max(share, 1e-9), 1 - 1e-9)
         return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log(p / (1 - p))))
-    found = features(texts)
     z, a, c, t = np.zeros(len(y)), 1.0, 0.0, y
     for fold in range(FOLDS):
         held = np.arange(len(y)) % FOLDS == fold
@@ -190,22 +194,46 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, step
     return Model(model.places, a * model.weights, a * model.intercept + c + prior)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_PER_LABEL) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of the rows to train on, and the share of label 1 among all that may be."""
+def _grams_of(rows: DataFrame) -> DataFrame:
+    """rows: labelled, label, mark, text. The distinct hashed n-grams for the text."""
+    kind = rows.schema["labelled"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = features(part.column(3).to_pylist())
+                ends = np.cumsum([0, *map(len, found)])
+                grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], grams], ["labelled", "label", "mark", "grams"])
+
+    return rows.mapInArrow(run, f"labelled {kind}, label int, mark long, grams array<int>")
+
+
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_PER_LABEL) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """Features and labels of the rows to train on, and the share of label 1 among all labels that may train."""
+    small_batches(docs.sparkSession)
     key = F.col(id_col)
     known = labels.filter(F.col(label_col).isin(0, 1) & key.isNotNull() & (F.pmod(F.crc32(key.cast("string")), F.lit(4)) != 2)).select(key.alias("labelled"), F.col(label_col).cast("int").alias("label"))
     share = known.agg(F.avg("label")).first()[0] or 0.0
     order = F.xxhash64("labelled")
-    chosen = [known.filter(F.col("label") == v).orderBy(order, "labelled").limit(most) for v in (0, 1)]
+    chosen = [known.filter(F.col("label") == v).distinct().orderBy(order, "labelled").limit(most) for v in (0, 1)]
     ids = F.broadcast(chosen[0].unionAll(chosen[1]))  # 2 * most ids at most
-    rows = docs.select(key.alias("labelled"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, "labelled").select("labelled", "label", "text").toArrow()
-    got = sorted(zip(rows["labelled"].to_pylist(), rows["label"].to_pylist(), rows["text"].to_pylist()), key=lambda r: ((r[0] * 2654435761) % (1 << 32), r))
-    return [r[2] for r in got], np.array([r[1] for r in got], int), float(share)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = _grams_of(docs.select(key.alias("labelled"), text.alias("text")).join(ids, "labelled").select("labelled", "label", F.xxhash64("text").alias("mark"), "text"))
+    # an id may have any number of rows: the bound holds for rows too
+    once = rows.groupBy("labelled", "label", "mark").agg(F.first("grams").alias("grams"))
+    bounded = [once.filter(F.col("label") == v).orderBy(order, "labelled", "mark").limit(most) for v in (0, 1)]
+    got = [part.toArrow() for part in bounded]
+    keys = [k for part in got for k in zip(part["labelled"].to_pylist(), part["label"].to_pylist(), part["mark"].to_pylist())]
+    found = [x.values.to_numpy() for part in got for x in part["grams"]]
+    mixed = sorted(range(len(keys)), key=lambda i: (zlib.crc32(str(keys[i][0]).encode()), keys[i][1:]))
+    return [found[i] for i in mixed], np.array([keys[i][1] for i in mixed], int), float(share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **names) -> Model:
-    texts, y, share = sample(docs, labels, **names)
-    return train(texts, y, share)
+    found, y, share = sample(docs, labels, **names)
+    return train(found, y, share)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
