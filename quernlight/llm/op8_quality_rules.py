@@ -7,9 +7,14 @@ among those that reject at most LOSS of the good ones. A document is kept if nei
 reject it.
 
 The forest is fitted on at most MAX_LABELLED labelled rows, those with the smallest hash of their id; the statistics and
-the scores are of every whole text. Nulls: a null text has no words (and fails the base); null labels don't train.
-With no labelled rows the forest rejects nothing; with one kind only, nothing either. Repeated rows each get a row.
-Other columns are ignored.
+the scores are of every whole text. What the forest looks at is bounded (shares of symbols, exclamation marks and bars a
+word at 2, of commas and stops at 1), so that one odd text doesn't stretch the range that splits are drawn from; the
+counts that are returned are not.
+
+Nulls: a null text has no words (and fails the base); null labels and null ids don't train. With no labelled rows the
+forest rejects nothing; with one kind only, nothing either. Repeated rows each get a row, and train each, as far as the
+bound goes; rows that are equal in id and statistics (ties) are interchangeable. Very long texts are read whole, one at a
+time. Empty tables give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import small_batches, table
 
@@ -168,15 +174,20 @@ def _features_of(docs: DataFrame) -> DataFrame:
             got = [statistics(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f for _, f in got], pa.list_(pa.float64())), pa.array([base_failed(c[0], c[4]) for c, _ in got])], ["labelled", "good", "features", "base_failed"])
 
-    return docs.mapInArrow(run, "labelled long, good boolean, features array<double>, base_failed boolean")
+    kind = docs.schema["labelled"].dataType.simpleString()
+    return docs.mapInArrow(run, f"labelled {kind}, good boolean, features array<double>, base_failed boolean")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MAX_LABELLED) -> Forest:
     small_batches(docs.sparkSession)
-    key = F.col(id_col).cast("long")
+    # whole numbers meet as such whatever their width, all other ids as text
+    whole = all(isinstance(df.schema[id_col].dataType, IntegralType) for df in (docs, labels))
+    key = F.col(id_col).cast("long" if whole else "string")
     known = labels.filter(F.col(label_col).isin(0, 1) & key.isNotNull()).select(key.alias("labelled"), (F.col(label_col) == 1).alias("good"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("labelled"), "labelled", "good").limit(most))  # `most` ids at most
-    rows = _features_of(docs.select(key.alias("labelled"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "labelled").select("labelled", "good", "text")).toArrow()
+    found = _features_of(docs.select(key.alias("labelled"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "labelled").select("labelled", "good", "text"))
+    # an id may have any number of rows: the bound holds for rows too
+    rows = found.orderBy(F.xxhash64("labelled"), "labelled", "good", "features").limit(most).toArrow()
     if not rows.num_rows:
         return grow(np.zeros((0, 1)))
     x, good, ids = np.array(rows["features"].to_pylist()), np.array(rows["good"].to_pylist(), bool), np.array(rows["labelled"].to_pylist())
