@@ -120,15 +120,6 @@ def bitmap(hashes: DataFrame, bits: int) -> Column:
     return bitmap_row(hashes, bits).scalar()
 
 
-def rolling(words: Column, k: int) -> Column:
-    """An array with, for each place, the k words from there on as a struct w0, w1, ...; nulls beyond the end.
-
-    After the last place comes one of nulls alone, so that exploding it leaves a row of every text, with or without words.
-    """
-    every = F.concat(words, F.array(F.lit(None).cast("string")))
-    return F.arrays_zip(*[every if j == 0 else F.slice(words, j + 1, F.size(words)) for j in range(k)]).cast("array<struct<" + ",".join(f"w{j}:string" for j in range(k)) + ">>")
-
-
 def in_bitmap(words: Column, h: Column, bits: int) -> Column:
     place = F.pmod(h, F.lit(bits))
     return F.getbit(F.element_at(words, (F.shiftright(place, 6) + 1).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1

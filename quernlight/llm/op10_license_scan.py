@@ -4,18 +4,23 @@ Every run of K words of every document is hashed; runs whose hash is in a bitmap
 the templates' places. A hit votes for the diagonal (its place in the text less its place in the template); votes are
 summed by diagonal, diagonals at most GAP apart are merged (words put in or left out move a match to a neighbouring
 one), and a merged span is kept if it covers enough of its template within a span that isn't much longer.
-A phrase stands consecutively where one diagonal has all of its runs.
+A phrase stands consecutively where one diagonal has all of its runs. Which places of a template a diagonal has is a
+bit mask, so that a state is as large as the templates, not as the text.
 
 Nulls: a null text has no words; empty and short texts get a row without labels. Ties and repeated rows or ids: a row
-each, told apart by a row key. Very long texts are scanned whole. Other columns are ignored.
+each, told apart by a row key. Very long texts are scanned whole; their words are hashed to numbers before they are laid
+out by place. Empty tables give no rows. Templates of fewer than K words are refused (ValueError). Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_bits, in_bitmap, lower_ascii, rolling, table
+from .common import bitmap, bitmap_bits, in_bitmap, literal_table, lower_ascii, table
 
 K, GAP, COVERAGE, STRETCH = 3, 3, 0.75, 1.5
 #: Words are what stands between these.
@@ -40,6 +45,8 @@ TEMPLATES = [
 ]
 #: Templates beyond so many runs are joined by shuffling, not broadcast.
 BROADCAST_RUNS = 200_000
+#: Bits of a mask.
+MASK = 63
 
 
 def words_of(text: Column) -> Column:
@@ -51,51 +58,90 @@ def places(spark: SparkSession, phrases, templates, k: int = K) -> DataFrame:
     every = [(t, words.split(), label, t < len(phrases)) for t, (words, label) in enumerate([*phrases, *templates])]
     if short := [" ".join(w) for _, w, _, _ in every if len(w) < k]:
         raise ValueError(f"templates of fewer than {k} words: {short}")
-    rows = [(" ".join(w[i : i + k]), t, i, len(w) - k + 1, label, is_phrase) for t, w, label, is_phrase in every for i in range(len(w) - k + 1)]
-    return spark.createDataFrame(rows, "run string, template int, at int, n_runs int, label string, is_phrase boolean")
+    names = sorted({label for _, _, label, _ in every})
+    rows = [(" ".join(w[i : i + k]), t, i, len(w) - k + 1, names.index(label), is_phrase) for t, w, label, is_phrase in every for i in range(len(w) - k + 1)]
+    return literal_table(spark, rows, "run string, template int, at int, n_runs int, label int, is_phrase boolean")
 
 
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+def _bits(place: Column, n: int) -> list[Column]:
+    """Masks of n bits in all with the bit of a place set; the place may be null."""
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(MASK)))
+    return [F.when(F.floor(place / MASK) == j, one).otherwise(F.lit(0).cast("bigint")) for j in range(-(-n // MASK))]
+
+
+def _merged(docs: DataFrame, phrases, templates, id_col: str, text_col: str, coverage: float) -> DataFrame:
+    """A row for each merged span, held or not, and one without a template for each document."""
     spark = docs.sparkSession
     known = places(spark, phrases, templates)
     n = sum(len(w.split()) for w, _ in [*phrases, *templates])
+    longest = max([1, *(len(w.split()) for w, _ in [*phrases, *templates])])
     bits = bitmap_bits(n, 64)
-    parts = F.split("run", " ")
-    map_bits = bitmap(known.select(F.xxhash64(*[parts[j] for j in range(K)])), bits)
+    map_bits = bitmap(known.select(F.xxhash64(*[F.xxhash64(F.split("run", " ")[j]) for j in range(K)])), bits)
     split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    runs = split.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.posexplode(rolling(F.col("words"), K)).alias("pos", "at"))
-    words = [F.col(f"at.w{j}") for j in range(K)]
-    likely = words[-1].isNotNull() & in_bitmap(map_bits, F.xxhash64(*words), bits)
-    hits = runs.filter(words[0].isNull() | likely).select("row", "doc_id", "n_words", "pos", F.when(words[0].isNotNull(), F.concat_ws(" ", *words)).alias("run"))
+    # after the last word comes a null, so that a row of every text is left, with or without hits
+    hashed = split.select("row", "doc_id", "words", F.concat(F.transform("words", lambda w: F.xxhash64(w)), F.array(F.lit(None).cast("bigint"))).alias("hashes"))
+    # no array is empty; the outer form keeps Catalyst from a filter on its size, which would hash every text twice
+    placed = hashed.select("row", "doc_id", "words", "hashes", F.posexplode_outer("hashes").alias("pos", "hash"))
+    run = [F.col("hash"), *(F.get("hashes", F.col("pos") + j) for j in range(1, K))]
+    likely = run[-1].isNotNull() & in_bitmap(map_bits, F.xxhash64(*run), bits)
+    words = F.concat_ws(" ", *[F.get("words", F.col("pos") + j) for j in range(K)])
+    hits = placed.filter(F.col("hash").isNull() | likely).select("row", "doc_id", (F.size("hashes") - 1).cast("long").alias("n_words"), "pos", F.when(F.col("hash").isNotNull(), words).alias("run"))
     # one exchange, by row, serves every grouping below
     votes = hits.join(F.broadcast(known) if n <= BROADCAST_RUNS else known, "run", "left").withColumn("diagonal", F.col("pos") - F.col("at")).repartition("row")
-    key = ["row", "doc_id", "n_words", "template", "n_runs", "label", "is_phrase"]
-    diagonals = votes.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    key, masks = ["row", "doc_id", "n_words", "template", "n_runs", "label", "is_phrase"], [f"m{j}" for j in range(-(-longest // MASK))]
+    diagonals = votes.groupBy(*key, "diagonal").agg(*[F.bit_or(b).alias(m) for b, m in zip(_bits(F.col("at"), longest), masks)], F.min("pos").alias("first"), F.max("pos").alias("last"))
     by = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > GAP).cast("int"), F.lit(0))
     spans = diagonals.withColumn("apart", apart).withColumn("span", F.sum("apart").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.col("is_phrase") & (F.size("ats") == F.col("n_runs"))
+    held = lambda: reduce(lambda a, b: a + b, [F.bit_count(m) for m in masks])
+    place = F.col("is_phrase") & (held() == F.col("n_runs"))
     merged = spans.groupBy(*key, "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"),
-        (F.max("last") - F.min("first") + 1).alias("reach"),
+        *[F.bit_or(m).alias(m) for m in masks],
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
         F.sum(place.cast("long")).alias("places"),
-        F.min(F.when(place, F.col("diagonal"))).alias("first"),
-        F.max(F.when(place, F.col("diagonal"))).alias("last"),
+        F.min(F.when(place, F.col("diagonal"))).alias("first_place"),
+        F.max(F.when(place, F.col("diagonal"))).alias("last_place"),
     )
-    share = F.col("covered") / F.col("n_runs")
-    held = F.when(F.col("is_phrase"), F.col("places") > 0).otherwise((share >= coverage) & (F.col("reach") <= F.col("n_runs") * STRETCH))
-    joined = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("label")))), ",")
+    share = held() / F.col("n_runs")
+    reach = F.col("last") - F.col("first") + 1
+    kept = F.when(F.col("is_phrase"), F.col("places") > 0).otherwise((share >= coverage) & (reach <= F.col("n_runs") * STRETCH))
+    return merged.select(*key, "first", "last", "places", "first_place", "last_place", share.alias("share"), F.coalesce(kept, F.lit(False)).alias("held"))
+
+
+def _labels(phrases, templates) -> list[str]:
+    return sorted({label for _, label in [*phrases, *templates]})
+
+
+def spans(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, label, is_phrase, first_word, last_word (the span's words, from 0), places (of a phrase), share (of the template's runs) of each span that is kept."""
+    names = F.array(*[F.lit(x) for x in _labels(phrases, templates)])
+    found = _merged(docs, phrases, templates, id_col, text_col, coverage).filter("held")
+    return found.select("doc_id", F.get(names, F.col("label")).alias("label"), "is_phrase", F.col("first").cast("long").alias("first_word"), (F.col("last") + K - 1).cast("long").alias("last_word"), "places", "share")
+
+
+def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    names = _labels(phrases, templates)
+    sets = [f"l{j}" for j in range(-(-len(names) // MASK))]
+
+    def joined(prefix: str) -> Column:
+        held = lambda name, i: F.getbit(F.get(F.array(*[F.col(prefix + s) for s in sets]), F.floor(i / MASK).cast("int")), F.pmod(i, F.lit(MASK))) == 1
+        return F.array_join(F.filter(F.array(*[F.lit(x) for x in names]), held), ",")
+
+    found = _merged(docs, phrases, templates, id_col, text_col, coverage)
+    own = _bits(F.col("label"), len(names))
     return (
-        merged.groupBy("row", "doc_id", "n_words")
+        found.groupBy("row", "doc_id", "n_words")
         .agg(
             F.sum(F.coalesce("places", F.lit(0))).cast("long").alias("n_base"),
-            F.min("first").cast("long").alias("first_word"),
-            F.max("last").cast("long").alias("last_word"),
-            joined(F.col("places") > 0).alias("base_labels"),
-            joined(held).alias("labels"),
-            F.coalesce(F.max(F.when(held, F.least(share, F.lit(1.0)))), F.lit(0.0)).alias("score"),
+            F.min("first_place").cast("long").alias("first_word"),
+            F.max("last_place").cast("long").alias("last_word"),
+            *[F.bit_or(F.when(F.col("places") > 0, b).otherwise(F.lit(0).cast("bigint"))).alias(f"base_{s}") for b, s in zip(own, sets)],
+            *[F.bit_or(F.when(F.col("held"), b).otherwise(F.lit(0).cast("bigint"))).alias(f"all_{s}") for b, s in zip(own, sets)],
+            F.coalesce(F.max(F.when(F.col("held"), F.least("share", F.lit(1.0)))), F.lit(0.0)).alias("score"),
         )
-        .drop("row")
+        .select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_").alias("base_labels"), joined("all_").alias("labels"), "score")
     )
 
 
