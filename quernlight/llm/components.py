@@ -1,4 +1,8 @@
-"""Connected components by min-label contraction, on tables alone."""
+"""Connected components by min-label contraction, on tables alone.
+
+Nulls: an edge with a null end is none. Repeated edges, edges both ways and loops add nothing; ties can't be, as a
+component's label is its smallest node. An empty table of edges gives no rows. Other columns are ignored.
+"""
 
 from __future__ import annotations
 
