@@ -118,6 +118,9 @@ SQL: dict[str, str | tuple[str, str]] = {
     "join_theta": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey",
     "join_using": "SELECT n_name, r_name FROM nation JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) r USING (n_regionkey)",
     "join_natural": "SELECT n_name, r_name FROM nation NATURAL JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) r",
+    "join_natural_left": "SELECT n_nationkey, r_name FROM nation NATURAL LEFT JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region WHERE r_regionkey < 3) r",
+    "join_natural_right": "SELECT n_name, r_name FROM (SELECT n_regionkey, n_name FROM nation WHERE n_nationkey < 4) n NATURAL RIGHT JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) r",
+    "join_natural_full": "SELECT n_name, r_name FROM (SELECT n_regionkey, n_name FROM nation WHERE n_regionkey > 1) n NATURAL FULL JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region WHERE r_regionkey < 4) r",
     "join_comma": "SELECT s_suppkey, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey",
     "join_or_common": "SELECT COUNT(*) AS n FROM orders o JOIN customer c ON (o_custkey = c_custkey AND c_nationkey = 1) OR (o_custkey = c_custkey AND o_orderstatus = 'F')",
     "join_self": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
@@ -149,6 +152,18 @@ SQL: dict[str, str | tuple[str, str]] = {
     "subq_limit": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25)",
     "subq_window": "SELECT o_orderkey FROM orders o WHERE o_totalprice IN (SELECT MAX(x.o_totalprice) OVER (PARTITION BY x.o_custkey) FROM orders x WHERE x.o_custkey = o.o_custkey)",
     "subq_setop": "SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000.0)",
+    "grouped_corr_scalar": "SELECT c_nationkey, (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey) AS nation, COUNT(*) AS n FROM customer GROUP BY c_nationkey",
+    "grouped_corr_alias": "SELECT c.c_mktsegment AS seg, (SELECT COUNT(*) FROM customer d WHERE d.c_mktsegment = c.c_mktsegment AND d.c_acctbal > 0.0) AS paid, COUNT(*) AS n FROM customer c GROUP BY c.c_mktsegment ORDER BY n DESC, seg",
+    "having_any_agg": "SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey HAVING COUNT(*) > ANY (SELECT COUNT(*) * 3 FROM supplier GROUP BY s_nationkey)",
+    "select_any_agg": "SELECT o_custkey, COUNT(*) > ANY (SELECT n_regionkey + 8 FROM nation WHERE n_nationkey = o_custkey) AS more, COUNT(*) >= ALL (SELECT n_nationkey FROM nation WHERE n_nationkey < 9) AS most FROM orders GROUP BY o_custkey",
+    "having_exists_agg": (
+        "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING EXISTS (SELECT 1 FROM nation WHERE n_nationkey = COUNT(*) AND n_regionkey < 3)",
+        "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)",
+    ),
+    "order_by_corr": "SELECT n_nationkey, n_name FROM nation ORDER BY (SELECT COUNT(*) FROM supplier WHERE s_nationkey = n_nationkey) DESC, n_nationkey LIMIT 7",
+    "order_by_corr_grouped": "SELECT c_nationkey FROM customer GROUP BY c_nationkey ORDER BY (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey) DESC LIMIT 6",
+    "join_on_any": "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey AND n_nationkey > ANY (SELECT s_nationkey FROM supplier WHERE s_nationkey > r_regionkey + 10)",
+    "cte_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey IN (WITH big AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey FROM big WHERE n > 12)",
     "derived_table": "SELECT seg, n FROM (SELECT c_mktsegment AS seg, COUNT(*) AS n FROM customer GROUP BY c_mktsegment) d WHERE n > 10",
     "cte_multi": "WITH big AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT o_custkey, total FROM big WHERE total > 1000000.0) SELECT c_name, ROUND(total, 2) AS total FROM top JOIN customer ON c_custkey = o_custkey",
     "cte_cols": "WITH x(k, n) AS (SELECT n_regionkey, COUNT(*) FROM nation GROUP BY n_regionkey) SELECT a.k AS k, a.n + b.n AS both_ FROM x a JOIN x b ON a.k = b.k",
@@ -166,6 +181,10 @@ SQL: dict[str, str | tuple[str, str]] = {
     "group_expr": ("SELECT EXTRACT(YEAR FROM o_orderdate) AS y, o_custkey % 2 AS odd, COUNT(*) AS n FROM orders GROUP BY EXTRACT(YEAR FROM o_orderdate), o_custkey % 2", "SELECT CAST(extract(year FROM o_orderdate) AS INTEGER) AS y, o_custkey % 2 AS odd, count(*) AS n FROM orders GROUP BY ALL"),
     "group_ordinal": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY 1, 2",
     "group_alias": ("SELECT n_nationkey % 3 AS n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey", "SELECT CAST(n_nationkey % 3 AS BIGINT) AS n_regionkey, count(*) AS n FROM nation GROUP BY n_nationkey % 3"),
+    "group_zero_nan": (
+        "SELECT CASE WHEN x > 100.0 THEN -1.0 ELSE x + 0.0 END AS x, COUNT(*) AS n FROM (SELECT CASE n_regionkey WHEN 0 THEN 0.0 WHEN 1 THEN -0.0 WHEN 2 THEN CAST('NaN' AS DOUBLE) ELSE 1.0 END AS x FROM nation) v GROUP BY x",
+        "SELECT CASE WHEN x > 100 THEN CAST(-1 AS DOUBLE) ELSE x END AS x, count(*) AS n FROM (SELECT CASE n_regionkey WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN CAST(0 AS DOUBLE) WHEN 2 THEN CAST('NaN' AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS x FROM nation) v GROUP BY ALL",
+    ),
     "having_agg": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12 AND MAX(o_totalprice) > 100000.0",
     "having_noagg": "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus HAVING o_orderstatus <> 'P'",
     "distinct_rows": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
@@ -187,6 +206,14 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT c_nationkey, SUM(COUNT(*)) OVER (ORDER BY c_nationkey GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS two FROM customer GROUP BY c_nationkey",
         "SELECT c_nationkey, CAST(sum(count(*)) OVER (ORDER BY c_nationkey GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS two FROM customer GROUP BY c_nationkey",
     ),
+    "win_empty_frame": (
+        f"SELECT n_nationkey, SUM(n_regionkey) OVER (ORDER BY n_nationkey ROWS BETWEEN 3 FOLLOWING AND 5 FOLLOWING) AS s, COUNT(*) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN 4 PRECEDING AND 3 PRECEDING) AS n FROM nation",
+        "SELECT n_nationkey, CAST(sum(n_regionkey) OVER (ORDER BY n_nationkey ROWS BETWEEN 3 FOLLOWING AND 5 FOLLOWING) AS BIGINT) AS s, count(*) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN 4 PRECEDING AND 3 PRECEDING) AS n FROM nation",
+    ),
+    "win_null_order": (
+        f"SELECT n_nationkey, ROW_NUMBER() OVER (ORDER BY maybe, n_nationkey) AS up, ROW_NUMBER() OVER (ORDER BY maybe DESC, n_nationkey) AS down FROM {_NATION_OF} x",
+        f"SELECT n_nationkey, row_number() OVER (ORDER BY maybe NULLS LAST, n_nationkey) AS up, row_number() OVER (ORDER BY maybe DESC NULLS FIRST, n_nationkey) AS down FROM {_NATION_OF} x",
+    ),
     "win_order_by": "SELECT o_orderkey, o_custkey FROM orders ORDER BY ROW_NUMBER() OVER (ORDER BY o_totalprice DESC, o_orderkey) LIMIT 10",
     # -- order, limit
     "sort_nulls": (
@@ -195,6 +222,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     ),
     "sort_explicit_nulls": f"SELECT n_nationkey, maybe FROM {_NATION_OF} x ORDER BY maybe NULLS FIRST, n_nationkey DESC LIMIT 7",
     "topn_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 15",
+    "order_distinct": "SELECT DISTINCT o_orderpriority FROM orders ORDER BY o_orderpriority DESC LIMIT 3",
     "fetch_first": ("SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey FETCH FIRST 12 ROWS ONLY", "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 12"),
     "order_unselected_agg": "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY COUNT(*) DESC, MAX(o_totalprice) DESC, o_custkey LIMIT 10",
     # -- set operations

@@ -103,6 +103,24 @@ def test_outer_columns_inside_aggregates(corpus):
     assert sorted(values(engine, text), key=repr) == [("eng", 320), ("hr", None), ("sales", 320)]
 
 
+def test_subqueries_over_groups(corpus):
+    engine, _ = corpus
+    by_dept = "SELECT E.DEPT, (SELECT D.DNAME FROM DEPT D WHERE D.DEPT = E.DEPT) AS N, COUNT(*) AS C FROM EMP E GROUP BY E.DEPT"
+    plain = "SELECT E.DEPT, MAX(D.DNAME) AS N, COUNT(*) AS C FROM EMP E LEFT JOIN DEPT D ON D.DEPT = E.DEPT GROUP BY E.DEPT"
+    assert sorted(values(engine, by_dept), key=repr) == sorted(values(engine, plain), key=repr)
+    assert sorted(values(engine, "SELECT K FROM T GROUP BY K HAVING COUNT(*) >= ALL (SELECT COUNT(*) FROM T GROUP BY K)"), key=repr) == sorted(values(engine, "SELECT K FROM T GROUP BY K HAVING COUNT(*) = (SELECT MAX(N) FROM (SELECT COUNT(*) AS N FROM T GROUP BY K) X)"), key=repr)
+    assert values(engine, "SELECT COUNT(*) > ANY (SELECT V FROM T), SUM(V) + 1 FROM T HAVING EXISTS (SELECT 1 FROM W WHERE A < COUNT(*))") == [(True, values(engine, "SELECT SUM(V) + 1 FROM T")[0][0])]
+    ordered = "SELECT DEPT FROM EMP GROUP BY DEPT ORDER BY (SELECT DNAME FROM DEPT WHERE DEPT.DEPT = EMP.DEPT) DESC, DEPT"
+    assert values(engine, ordered) == values(engine, "SELECT DEPT FROM (SELECT E.DEPT AS DEPT, MAX(DNAME) AS N FROM EMP E LEFT JOIN DEPT D ON D.DEPT = E.DEPT GROUP BY E.DEPT) X ORDER BY N DESC, DEPT")
+    assert values(engine, "SELECT K, RANK() OVER (ORDER BY COUNT(*) DESC, K) AS R, (SELECT MAX(V) FROM T U WHERE U.K = T.K) AS M FROM T GROUP BY K HAVING K = 'b'") == [("b", 1, values(engine, "SELECT MAX(V) FROM T WHERE K = 'b'")[0][0])]
+
+
+def test_subqueries_in_on(corpus):
+    engine, _ = corpus
+    text = "SELECT E.ID FROM EMP E JOIN DEPT D ON D.DEPT = E.DEPT AND E.SAL >= ALL (SELECT SAL FROM EMP X WHERE X.DEPT = D.DEPT) ORDER BY ID"
+    assert values(engine, text) == values(engine, "SELECT E.ID FROM EMP E JOIN DEPT D ON D.DEPT = E.DEPT WHERE E.SAL >= ALL (SELECT SAL FROM EMP X WHERE X.DEPT = D.DEPT) ORDER BY ID")
+
+
 def test_parameters(corpus):
     engine, _ = corpus
     assert values(engine, "SELECT K FROM T WHERE V = $1 OR K = :2 ORDER BY K LIMIT $3", [5, "c", 1]) == [("c",)]
@@ -145,6 +163,9 @@ def test_both_copies_of_shared_names(corpus):
         "SELECT SUM(V) OVER (ORDER BY K, V RANGE 1 PRECEDING) FROM T",
         "SELECT SUM(V) OVER (ORDER BY V ROWS BETWEEN UNBOUNDED FOLLOWING AND CURRENT ROW) FROM T",
         "SELECT SUM(COUNT(*)) FROM T",
+        "SELECT K, (SELECT MAX(A) FROM W WHERE A = V) FROM T GROUP BY K",
+        "SELECT K FROM T GROUP BY K HAVING EXISTS (SELECT 1 FROM W WHERE SUM(A) > 1)",
+        "SELECT E.ID FROM EMP E LEFT JOIN DEPT D ON D.DEPT = E.DEPT AND E.SAL > ANY (SELECT SAL FROM EMP X WHERE X.DEPT = D.DEPT)",
         "SELECT K FROM T WHERE COUNT(*) > 1",
         "SELECT V FROM T LIMIT K",
         "SELECT N FROM (SELECT (SELECT (SELECT T.V FROM W) FROM W) AS N FROM T) X",
