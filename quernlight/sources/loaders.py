@@ -1,7 +1,8 @@
 """Files as DataFrames, by their extension.
 
 Files are read by Spark's readers, in parallel and from any store. CSV has a header; types are inferred from a sample of
-rows, values that don't fit become null, and dates stay text. JSON is an array of objects or an object a line.
+rows, values that don't fit become null, and dates stay text. A CSV file is split between tasks unless a quoted field
+holds a line break somewhere. JSON is an array of objects or an object a line.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import posixpath
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,9 +35,25 @@ def _guess(values: list[str]) -> T.DataType:
     return T.StringType()
 
 
+def _breaks_in_fields(spark: SparkSession, path: str) -> bool:
+    """Whether some quoted field goes on in the next line: then a line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def _numbered(df: DataFrame, columns: list) -> DataFrame:
+    """The columns and "__place", a row's number in its file order, from the number of rows in each part of a file."""
+    part = {"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.file_block_start"), "__id": F.monotonically_increasing_id()}
+    placed = df.select(*columns, *[c.alias(name) for name, c in part.items()])
+    parts = placed.groupBy("__file", "__at").agg(F.min("__id").alias("__low"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1))  # a row for each part of a file
+    starts = parts.select("__file", "__at", (F.coalesce(before, F.lit(0)) - F.col("__low")).alias("__start"))
+    return placed.join(starts, ["__file", "__at"]).withColumn("__place", F.col("__id") + F.col("__start")).drop(*part, "__start")
+
+
 def csv(spark: SparkSession, path: str, max_rows: int | None = None, partition: tuple[int, int] | None = None) -> DataFrame:
     """partition: (index, count) keeps the rows whose place in the file, modulo count, is index."""
-    text = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", multiLine=True, escape='"')
+    text = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", multiLine=_breaks_in_fields(spark, path), escape='"')
     sample = text.limit(SAMPLE_ROWS).collect()  # a bounded sample, for types alone
     out = []
     for i, name in enumerate(text.columns):
@@ -45,8 +62,7 @@ def csv(spark: SparkSession, path: str, max_rows: int | None = None, partition:
     df = text.select(*out)
     if partition is not None:
         index, count = partition
-        placed = df.rdd.zipWithIndex().filter(lambda x: x[1] % count == index).map(lambda x: x[0])
-        df = spark.createDataFrame(placed, df.schema)
+        df = _numbered(text, out).filter(F.col("__place") % count == index).drop("__place")
     return df.limit(max_rows) if max_rows is not None else df
 
 
