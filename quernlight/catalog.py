@@ -30,6 +30,7 @@ class Entry:
     primary_key: list[str] = field(default_factory=list)
     foreign_keys: list[ForeignKey] = field(default_factory=list)
     managed: bool = False
+    buckets: int | None = None
 
 
 class Catalog:
@@ -57,18 +58,19 @@ class Catalog:
     def frame(self, name: str) -> DataFrame:
         return self.spark.table(self.entry(name).view)
 
-    def add(self, name: str, df: DataFrame, primary_key: list[str] | None = None, foreign_keys: list[ForeignKey] | None = None, managed: bool = False) -> Entry:
-        """Register a DataFrame under a name; with managed, its rows are written to a table that DROP removes."""
+    def add(self, name: str, df: DataFrame, primary_key: list[str] | None = None, foreign_keys: list[ForeignKey] | None = None, managed: bool = False, buckets: int | None = None) -> Entry:
+        """Register a DataFrame under a name; with managed, its rows are written to a table that DROP removes, in buckets by its key if so many are given."""
         part = uuid.uuid4().hex[:12] if managed else f"v{self.version}"  # a table's files may outlive the session
         view = f"quernlight_{self.number}_{part}_{''.join(c if c.isalnum() and c.isascii() else '_' for c in name.lower())}"
         if managed:
-            df.write.format("parquet").saveAsTable(view)
+            writer = df.repartition(buckets, *primary_key).write.bucketBy(buckets, *primary_key).sortBy(*primary_key) if buckets else df.write
+            writer.format("parquet").saveAsTable(view)
             df = self.spark.table(view)
         else:
             df.createOrReplaceTempView(view)
         if name in self:
             self.drop(name)
-        e = Entry(name, view, [Column(f.name, types.of_spark(f.dataType)) for f in df.schema.fields], list(primary_key or []), list(foreign_keys or []), managed)
+        e = Entry(name, view, [Column(f.name, types.of_spark(f.dataType)) for f in df.schema.fields], list(primary_key or []), list(foreign_keys or []), managed, buckets)
         self._entries[name.upper()] = e
         self.version += 1
         return e

@@ -80,7 +80,7 @@ class Engine:
         return self.catalog.add(name, in_memory.from_columns(self.spark, columns, schema)).columns
 
     def register_batches(self, name: str, batches: Iterable[list[dict]], schema: list[tuple[str, str]] | None = None) -> list[Column]:
-        """Batches of rows as one table, taken in one at a time."""
+        """Batches of rows as one table; beyond a bounded number, rows are written out as they come."""
         return self.catalog.add(name, ingest.from_batches(self.spark, batches, schema)).columns
 
     def load(self, path: str, name: str | None = None, **options) -> str:
@@ -90,21 +90,32 @@ class Engine:
         return name
 
     def register_function(self, name: str, function: Callable, returns: str = "VARCHAR", arity: int | None = None, vectorized: bool = False) -> None:
-        """A scalar function for SQL text; with vectorized, it takes and gives pandas Series."""
+        """A scalar function for SQL text, called a row at a time over Arrow batches; with vectorized, it takes and gives pandas Series."""
         kind = types.named(returns)
         spark_name = f"quernlight_{self.catalog.number}_{name.lower()}"
-        made = F.pandas_udf(function, types.SPARK[kind]) if vectorized else F.udf(function, types.SPARK[kind])
+        made = F.pandas_udf(function, types.SPARK[kind]) if vectorized else F.udf(function, types.SPARK[kind], useArrow=True)
         self.spark.udf.register(spark_name, made)
         self.functions[name.upper()] = (spark_name, kind, arity)
 
     def analyze(self, name: str) -> None:
-        """Statistics of a table that CREATE TABLE AS wrote, for the optimizer's cardinalities and join order."""
+        """Statistics of a written table (of CREATE TABLE AS or build_indexes()), which cardinalities and join order then follow."""
         e = self.catalog.entry(name)
         if e.managed:
             self.spark.sql(f"ANALYZE TABLE {e.view} COMPUTE STATISTICS FOR ALL COLUMNS")
-
-    def build_indexes(self) -> None:
-        """Nothing to build: Parquet's row-group statistics and bucketing take the place of indexes."""
+            for setting in ("spark.sql.cbo.enabled", "spark.sql.cbo.joinReorder.enabled"):
+                self.spark.conf.set(setting, "true")
+
+    def build_indexes(self, buckets: int | None = None) -> None:
+        """Write every table that has a primary key in buckets by that key, each sorted by it.
+
+        A key then reads one bucket, a range of keys skips row groups by their extremes, and tables of equally many
+        buckets join on their keys without an exchange.
+        """
+        n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        for name in self.catalog.names():
+            e = self.catalog.entry(name)
+            if e.primary_key and not e.buckets:
+                self.catalog.add(name, self.catalog.frame(name), e.primary_key, e.foreign_keys, managed=True, buckets=n)
 
     # -- frames
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,8 +31,13 @@ def profile(df: DataFrame, columns: list[str], buckets: int = 64, top: int = 10)
     return out
 
 
+def correlated(a: str, b: str) -> Column:
+    """Pearson's correlation of two columns, as an aggregate."""
+    return F.corr(a, b)
+
+
 def correlation(df: DataFrame, a: str, b: str) -> float | None:
-    return df.agg(F.corr(a, b)).first()[0]
+    return df.agg(correlated(a, b)).first()[0]
 
 
 def fixed_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as Q
+from ..engine import Engine
 from ..operators import joins, partitioning, sketches
 from ..session import scratch_path
 from .relational import engine_over
@@ -36,13 +37,16 @@ def ctas_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT k, n FROM counts WHERE n > 5").df
 
 
-@query("SELECT 0 AS k WHERE FALSE")
+@query("SELECT n_nationkey, CAST(0 AS BIGINT) AS n FROM nation")
 def create_and_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine_over(spark, sf_dir, [])
+    """A table that is there but empty beside one that has rows, and one that a second definition replaced."""
+    e = engine_over(spark, sf_dir, ["nation", "region"])
     e.run("CREATE TABLE IF NOT EXISTS fresh (k INT, name VARCHAR, price DECIMAL(10, 2))")
     e.run("CREATE TABLE IF NOT EXISTS fresh (other INT)")
     e.run("DROP TABLE IF EXISTS absent")
-    return e.sql("SELECT k FROM fresh").df
+    e.run("DROP TABLE region")
+    e.run("CREATE TABLE region (r_regionkey BIGINT)")
+    return e.sql("SELECT n_nationkey, COUNT(k) + COUNT(r_regionkey) AS n FROM nation LEFT JOIN fresh ON k = n_nationkey LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY n_nationkey").df
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -149,6 +153,54 @@ def part_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).filter("o_orderstatus = 'P'").select("o_orderkey", "o_orderstatus")
 
 
+def _pruned(name: str, kept: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        partitioning.write_partitioned(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey"), path, "c_nationkey")
+        return spark.read.parquet(path).filter(kept).select("c_custkey", F.col("c_nationkey").cast("bigint").alias("c_nationkey"))
+
+    run.__name__ = name
+    query(f"SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer WHERE {kept}")(run)
+
+
+for _name, _kept in (("part_pruned_range", "c_nationkey > 5 AND c_nationkey <= 9"), ("part_pruned_in", "c_nationkey IN (1, 3, 24)"), ("part_pruned_or", "c_nationkey = 2 OR c_nationkey >= 20")):
+    _pruned(_name, _kept)
+
+
+def keyed_engine(spark: SparkSession, sf_dir: str, buckets: int = 8) -> Engine:
+    """orders and lineitem in buckets by the order's key."""
+    e = Engine(spark)
+    e.register("orders", spark.read.parquet(f"{sf_dir}/orders.parquet"), primary_key=["o_orderkey"])
+    e.register("lineitem", spark.read.parquet(f"{sf_dir}/lineitem.parquet"), primary_key=["l_orderkey"])
+    e.build_indexes(buckets)
+    return e
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 17")
+def index_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_engine(spark, sf_dir).sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 17").df
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 40 AND 90")
+def index_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_engine(spark, sf_dir).sql("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 40 AND 90").df
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def join_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_engine(spark, sf_dir).sql("SELECT o_orderstatus, COUNT(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderstatus").df
+
+
+@query("SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY 1")
+def join_by_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with statistics, written in an order that would join the two largest first."""
+    e = engine_over(spark, sf_dir, ["orders", "customer", "nation"])
+    for name in ("orders", "customer", "nation"):
+        e.run(f"CREATE TABLE {name}_ AS SELECT * FROM {name}")
+        e.analyze(f"{name}_")
+    return e.sql("SELECT n_name, COUNT(*) AS n FROM orders_ JOIN customer_ ON o_custkey = c_custkey JOIN nation_ ON c_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY n_name").df
+
+
 @query("SELECT l_orderkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey LIMIT 50")
 def merge_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioning.merge_exchange(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_extendedprice"), "l_extendedprice", "l_orderkey", limit=50)
@@ -163,7 +215,7 @@ def _strategy(name: str):
     return query("SELECT c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")(run)
 
 
-for _name in ("hash", "merge"):
+for _name in ("hash", "merge", "broadcast"):
     _strategy(_name)
 
 
@@ -199,9 +251,28 @@ def join_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.first_match(nation.select("n_nationkey"), supplier.select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey"), ["n_nationkey"], [F.col("s_suppkey")]).select("n_nationkey", "s_suppkey")
 
 
-@query("SELECT 'o_orderstatus' AS name, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null, min(o_orderstatus) AS low, max(o_orderstatus) AS high FROM orders")
+@query(
+    """SELECT 'o_orderstatus' AS name, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null, count(DISTINCT o_orderstatus) AS n_distinct, min(o_orderstatus) AS low, max(o_orderstatus) AS high,
+       (SELECT o_orderstatus FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS most FROM orders"""
+)
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketches.profile(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderstatus"]).select("name", "n_rows", "n_null", "low", "high")
+    """A column of so few values that the sketches count them exactly."""
+    made = sketches.profile(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderstatus"])
+    return made.select("name", "n_rows", "n_null", "n_distinct", "low", "high", F.col("frequent")[0]["value"].alias("most"))
+
+
+@query("SELECT TRUE AS distinct_near, TRUE AS bounds_near FROM orders LIMIT 1")
+def statistics_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a column of many values: the estimated number within 10 % of the true one, the middle bound within 2 % of its rank."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    made = sketches.profile(orders, ["o_totalprice"], buckets=4).select("n_distinct", F.col("bounds")[2].alias("middle"))
+    facts = orders.crossJoin(F.broadcast(made)).agg(F.countDistinct("o_totalprice").alias("n"), F.avg((F.col("o_totalprice") <= F.col("middle")).cast("int")).alias("share"), F.first("n_distinct").alias("about"))  # one row
+    return facts.select((F.abs(F.col("about") - F.col("n")) <= 0.1 * F.col("n")).alias("distinct_near"), (F.abs(F.col("share") - 0.5) <= 0.02).alias("bounds_near"))
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.round(sketches.correlated("l_quantity", "l_extendedprice"), 6).alias("r"))
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 5")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from quernlight.queries.api import keyed_engine
 from quernlight.queries.relational import engine_over
 
 DATA = "/root/testdata/sf0.001"
@@ -26,6 +27,11 @@ def test_order_and_limit_are_one(tpch):
     assert "TakeOrderedAndProject" in plan(tpch, "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC LIMIT 3")
 
 
+def test_a_row_number_that_only_orders_is_its_keys(tpch):
+    made = plan(tpch, "SELECT o_orderkey FROM orders ORDER BY ROW_NUMBER() OVER (ORDER BY o_totalprice DESC, o_orderkey) DESC LIMIT 3")
+    assert "TakeOrderedAndProject" in made and "Window" not in made
+
+
 def test_a_condition_common_to_or_branches_is_a_key(tpch):
     made = plan(tpch, "SELECT 1 FROM lineitem JOIN part ON (p_partkey = l_partkey AND p_size = 1) OR (p_partkey = l_partkey AND l_quantity < 5.0)")
     assert "HashJoin" in made or "SortMergeJoin" in made
@@ -40,6 +46,35 @@ def test_exists_is_a_semi_join(tpch):
     assert "LeftSemi" in plan(tpch, "SELECT c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 
 
+def test_buckets_spare_exchanges_and_reads(spark):
+    e = keyed_engine(spark, DATA, 4)
+    # a look-up skips buckets without a bucketed scan too, but only such a scan says how many it reads
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    for setting, value in settings.items():
+        spark.conf.set(setting, value)
+    try:
+        joined = plan(e, "SELECT o_custkey, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+        point = plan(e, "SELECT o_custkey FROM orders WHERE o_orderkey = 17")
+        e.run("CREATE TABLE big AS SELECT o_orderkey, o_custkey FROM orders")
+        e.analyze("big")
+        costs = spark.sql(e.spark_sql("SELECT o_custkey FROM big WHERE o_orderkey < 10"))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("cost"))
+    finally:
+        for setting in settings:
+            spark.conf.unset(setting)
+    assert "SortMergeJoin" in joined and "Exchange" not in joined
+    assert "SelectedBucketsCount: 1 out of 4" in point and "EqualTo(o_orderkey,17)" in point
+    assert "rowCount" in costs
+
+
+def test_a_cte_of_two_references_is_computed_once(spark, tpch):
+    text = "WITH c AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT a.o_custkey FROM c a JOIN c b ON a.n = b.n AND a.o_custkey < b.o_custkey"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "ReusedExchange" in plan(tpch, text)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_keys_spare_distinct_and_outer_joins(spark):
     from quernlight.engine import Engine
 
