@@ -31,6 +31,7 @@ class Entry:
     foreign_keys: list[ForeignKey] = field(default_factory=list)
     managed: bool = False
     buckets: int | None = None
+    rows: int | None = None  # as counted by analyze()
 
 
 class Catalog:

@@ -17,6 +17,7 @@ from . import types
 from .catalog import Catalog, ForeignKey
 from .frame import DataFrame, unique
 from .plans import syntax as S
+from .plans.eager import LEAST_ROWS
 from .plans.syntax import DialectError, parse
 from .plans.translate import Column, Translator
 from .session import build_session
@@ -56,8 +57,9 @@ class Cancel:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession | None = None):
-        self.spark = spark or build_session()
+    def __init__(self, spark: SparkSession | None = None, eager_rows: int = LEAST_ROWS):
+        """eager_rows: tables of which analyze() has counted so many rows are summed up before inner joins, where that gives the same rows."""
+        self.spark, self.eager_rows = spark or build_session(), eager_rows
         self.catalog = Catalog(self.spark)
         self.functions: dict[str, tuple[str, str, int | None]] = {}
         self._count = 0
@@ -102,6 +104,7 @@ class Engine:
         e = self.catalog.entry(name)
         if e.managed:
             self.spark.sql(f"ANALYZE TABLE {e.view} COMPUTE STATISTICS FOR ALL COLUMNS")
+            e.rows = self.spark.table(e.view).count()
             for setting in ("spark.sql.cbo.enabled", "spark.sql.cbo.joinReorder.enabled"):
                 self.spark.conf.set(setting, "true")
 
@@ -137,7 +140,8 @@ class Engine:
             return self.catalog.find(name)
 
         known = lambda name, columns: name.upper() not in (frames or {}) and self.catalog.unique(name, columns)
-        return Translator(find, self.functions, params, known)
+        size = lambda name: None if name.upper() in (frames or {}) else self.catalog.entry(name).rows
+        return Translator(find, self.functions, params, known, size, self.eager_rows)
 
     def sql(self, text: str, params: list | None = None, frames: dict[str, DataFrame] | None = None) -> DataFrame:
         """A query as a lazy frame."""

@@ -167,6 +167,20 @@ for _name, _kept in (("part_pruned_range", "c_nationkey > 5 AND c_nationkey <= 9
     _pruned(_name, _kept)
 
 
+@query("SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s, avg(o_orderkey) AS a, max(o_totalprice) AS hi FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 AND o_orderstatus <> 'P' GROUP BY 1 HAVING count(*) > 2")
+def eager_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the planner, once statistics say that orders is large (here: that it has any rows)."""
+    e = Engine(spark, eager_rows=1)
+    e.register("customer", spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    e.register("orders", spark.read.parquet(f"{sf_dir}/orders.parquet"), primary_key=["o_orderkey"])
+    e.build_indexes(8)
+    e.analyze("orders")
+    return e.sql(
+        """SELECT o_custkey, COUNT(*) AS n, SUM(o_orderkey) AS s, AVG(o_orderkey) AS a, MAX(o_totalprice) AS hi FROM orders JOIN customer ON c_custkey = o_custkey
+           WHERE c_acctbal > 0.0 AND o_orderstatus <> 'P' GROUP BY o_custkey HAVING COUNT(*) > 2 ORDER BY n DESC"""
+    ).df
+
+
 def keyed_engine(spark: SparkSession, sf_dir: str, buckets: int = 8) -> Engine:
     """orders and lineitem in buckets by the order's key."""
     e = Engine(spark)

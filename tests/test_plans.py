@@ -2,6 +2,7 @@
 
 import pytest
 
+from quernlight.engine import Engine
 from quernlight.queries.api import keyed_engine
 from quernlight.queries.relational import engine_over
 
@@ -66,6 +67,22 @@ def test_buckets_spare_exchanges_and_reads(spark):
     assert "rowCount" in costs
 
 
+def test_large_tables_are_summed_up_before_joins(spark):
+    e = Engine(spark, eager_rows=1)
+    e.register_table("f", [{"id": i, "k": i % 7, "g": i % 3, "x": i} for i in range(60)], primary_key=["id"])
+    e.register_table("d", [{"k": i % 5, "y": i} for i in range(12)])
+    text = "SELECT g, COUNT(*), SUM(x) AS s, AVG(x) + 1 AS a, MIN(x) FROM f JOIN d ON f.k = d.k AND d.y > 1 WHERE f.x > 3 AND f.x + d.y < 60 GROUP BY g HAVING SUM(x) > 10 ORDER BY s DESC, 1"
+    before = e.run(text)
+    e.build_indexes(2)
+    e.analyze("f")
+    made = plan(e, text)
+    assert e.run(text).rows == before.rows and e.run(text).columns == before.columns == ["g", "count_star", "s", "a", "min"]
+    assert "__part" in e.spark_sql(text)
+    assert made.index("Join") < made.rindex("Aggregate")
+    for other in ("SELECT g, COUNT(DISTINCT x) FROM f JOIN d ON f.k = d.k GROUP BY g", "SELECT g, SUM(y) FROM f JOIN d ON f.k = d.k GROUP BY g", "SELECT y, SUM(x) FROM f JOIN d ON f.k = d.k GROUP BY y", "SELECT g, SUM(x) FROM f LEFT JOIN d ON f.k = d.k GROUP BY g"):
+        assert "__part" not in e.spark_sql(other)
+
+
 def test_a_cte_of_two_references_is_computed_once(spark, tpch):
     text = "WITH c AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT a.o_custkey FROM c a JOIN c b ON a.n = b.n AND a.o_custkey < b.o_custkey"
     spark.conf.set("spark.sql.adaptive.enabled", "false")
