@@ -63,6 +63,32 @@ def test_near_duplicates_as_by_brute_force(docs_of, monkeypatch, block):
     assert [r["class_id"] for r in sorted(rows, key=lambda r: r["doc_id"])] == brute_classes(NEAR)
 
 
+def test_near_duplicates_of_a_thousand_documents(spark):
+    texts = dict(sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()))
+    keys, words = list(texts), [" ".join(re.findall(r"[^\W_]+", t.lower())) for t in texts.values()]
+    raw = [w.encode() for w in words]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    h, owner, n = bagminhash.shingles(*bagminhash.word_hashes(np.frombuffer(b"".join(raw), np.uint8), bounds), 5)
+    s = bagminhash.similarities(h, owner, n, len(keys))
+    own = {}
+    for k, w in enumerate(words):
+        own.setdefault(w or "\0" + texts[keys[k]], []).append(k)
+    enough = np.bincount(owner, n, len(keys)) >= 4
+    parent = list(range(len(keys)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [(g[0], k) for g in own.values() for k in g[1:]] + [(a, b) for a, b in zip(*np.nonzero(np.triu(s >= 0.8 - 1e-9, 1))) if enough[a] and enough[b]]
+    for a, b in links:
+        low, high = sorted((top(int(a)), top(int(b))))
+        parent[high] = low
+    rows = dict(map(tuple, op5_near_duplicates.query(spark, "/root/testdata/sf0.01").collect()))
+    assert rows == {k: keys[top(i)] for i, k in enumerate(keys)}
+
+
 def test_one_of_each_class_stays(docs_of):
     docs = docs_of([*((i, t) for i, t in enumerate(NEAR)), (8, sentence(1)), (8, sentence(1)), (None, sentence(2)), (None, "only here, without an id")])
     kept = op5_near_duplicates.without_copies(docs).collect()
@@ -97,26 +123,38 @@ def test_components(spark):
 
 
 def brute_overlaps(texts, items):
-    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    found = {}
+    """Every item laid beside every text at every offset: (text, item) -> words that agree in the best window."""
+    numbers = {}
+    words = lambda t: np.array([numbers.setdefault(w, len(numbers)) for w in re.findall(r"[^\W_]+", (t or "").lower())], np.int64)
+    found, split = {}, [(k, words(t)) for k, t in items]
     for i, t in enumerate(texts):
         d = words(t)
-        for k, item in items:
-            w = words(item)
-            if len(w) < 8:
+        for k, w in split:
+            n = len(w)
+            if n < 5:  # only as the whole text
+                if n and w.tolist() == d.tolist():
+                    found[i, k] = n
                 continue
-            width = min(16, len(w))
-            best = max((sum(0 <= o + j < len(d) and d[o + j] == w[j] for j in range(s, s + width)) for o in range(-len(w), len(d)) for s in range(len(w) - width + 1)), default=0)
-            if best >= 0.8 * width:
+            width, gap = min(16, n), np.full(n, -1)
+            beside = np.lib.stride_tricks.sliding_window_view(np.concatenate([gap, d, gap]), n)
+            best = 0
+            for a in range(0, len(beside), 4096):
+                sums = np.cumsum(beside[a : a + 4096] == w, axis=1, dtype=np.int64)
+                sums[:, width:] = sums[:, width:] - sums[:, :-width]
+                best = max(best, int(sums[:, width - 1 :].max()))
+            if best >= (0.8 * width if width >= 8 else width):
                 found[i, k] = best
     return found
 
 
-def test_overlaps_as_by_brute_force(spark, docs_of):
-    items = [(i, sentence(50 + i, n)) for i, n in enumerate((8, 12, 16, 30, 60, 5))] + [(6, None), (7, "")]
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_overlaps_as_by_brute_force(spark, docs_of, monkeypatch, broadcast):
+    monkeypatch.setattr(op6_decontaminate, "BROADCAST_SEEDS", broadcast)
+    items = [(i, sentence(50 + i, n)) for i, n in enumerate((8, 12, 16, 30, 60, 5))] + [(6, None), (7, ""), (8, "yes no maybe"), (9, "one"), (10, sentence(70, 7)), (11, "Yes, no. MAYBE")]
     passage, long_ = items[3][1], items[4][1]
     replaced = " ".join("other" if k % 7 == 3 else w for k, w in enumerate(long_.split()))
     texts = [None, "", sentence(1), passage, sentence(2) + " " + passage.upper() + "! " + sentence(3), " ".join(passage.split()[:20]), " ".join(passage.split()[15:]), replaced, sentence(4) + " " + replaced, items[0][1], "x " + items[1][1], items[5][1], passage + " " + long_, (sentence(5, 3000) + " " + long_ + " ") * 2, " ".join(passage.split()[:9])]
+    texts += ["Yes: no, maybe!", "yes no maybe so", "one", "one one", "x " + sentence(70, 7) + " y", " ".join(sentence(70, 7).split()[:6] + ["z"]), "no maybe"]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     rows = op6_decontaminate.overlaps(docs_of(texts), benchmark).collect()
     assert {(r["doc_id"], r["item_id"]): r["n_matched"] for r in rows} == brute_overlaps(texts, items)
@@ -213,6 +251,20 @@ def test_forest_rejects_odd_documents_and_keeps_good_ones(spark, docs_of):
     assert op8_quality_rules.rate(docs_of([]), op8_quality_rules.fit(docs, labels)).count() == 0
 
 
+def test_spans_of_licences(docs_of):
+    long_ = sentence(90, 150)
+    templates = [*op10_license_scan.TEMPLATES, (long_, "zz-long")]
+    texts = ["", "x " + op10_license_scan.TEMPLATES[2][0], long_ + " " + sentence(1), " ".join(w for i, w in enumerate(long_.split()) if i % 40 != 7), " ".join(long_.split()[:80]), "under the mit license " * 3]
+    rows = op10_license_scan.spans(docs_of(texts), templates=templates).collect()
+    found = {(r["doc_id"], r["label"], r["is_phrase"]): (r["first_word"], r["last_word"]) for r in rows}
+    assert found[1, "gpl-3", False] == (1, 12) and found[2, "zz-long", False] == (0, 149) and found[3, "zz-long", False] == (0, 145)
+    assert {k[0] for k in found} == {1, 2, 3, 5} and {k[1] for k in found if k[0] == 5} == {"mit"}
+    labels = {r["doc_id"]: r["labels"] for r in op10_license_scan.scan(docs_of(texts), templates=templates).collect()}
+    assert labels == {0: "", 1: "gpl-3", 2: "zz-long", 3: "zz-long", 4: "", 5: "mit"}
+    with pytest.raises(ValueError, match="fewer than 3 words"):
+        op10_license_scan.scan(docs_of(texts), templates=[("two words", "x")])
+
+
 def brute_phrases(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places = [(i, label) for p, label in op10_license_scan.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]

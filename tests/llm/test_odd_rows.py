@@ -22,8 +22,8 @@ OPERATORS = {
     "op4 encode, decode": (lambda d, lab, b: op4_byte_bpe.decode(op4_byte_bpe.encode(d, P.path("byte_bpe_multi_50k.tiktoken"), with_offsets=True), P.path("byte_bpe_multi_50k.tiktoken")), 5),
     "op5": (lambda d, lab, b: op5_near_duplicates.near_duplicates(d), 5),
     "op5 keep": (lambda d, lab, b: op5_near_duplicates.without_copies(d), 2),
-    "op6": (lambda d, lab, b: op6_decontaminate.overlaps(d, b), 0),
-    "op6 keep": (lambda d, lab, b: op6_decontaminate.without_overlaps(d, b), 5),
+    "op6": (lambda d, lab, b: op6_decontaminate.overlaps(d, b), 1),
+    "op6 keep": (lambda d, lab, b: op6_decontaminate.without_overlaps(d, b), 3),
     "op7": (lambda d, lab, b: op7_toxicity.score(d, op7_toxicity.fit(d, lab)), 5),
     "op7 keep": (lambda d, lab, b: op7_toxicity.score(d, op7_toxicity.fit(d, lab), keep=True), 0),  # only label 1 is known
     "op8": (lambda d, lab, b: op8_quality_rules.rate(d, op8_quality_rules.fit(d, lab)), 5),

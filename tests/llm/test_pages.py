@@ -35,6 +35,31 @@ def test_urls_as_by_brute_force(spark):
     assert {r["verdict"] for r in op2_url_filter.judge(pages, block=[], allow=[], listed=[]).collect()} == {"allow"}
 
 
+def test_long_lists_are_dealt_into_slices(spark):
+    pages = spark.createDataFrame([(i, u, "x", 1, "h", "b") for i, u in enumerate(URLS)], "page_id long, url string, html string, key int, host string, b string")
+    whole = [tuple(r) for r in op2_url_filter.judge(pages).orderBy("page_id").collect()]
+    hosts = spark.createDataFrame([(h, p, "x") for h, p in op2_url_filter.LISTED] + [(None, "/", "x"), ("", "", "x"), ("nowhere.example.com", None, "x")], "host string, path string, key string")
+    for most in (op2_url_filter.MOST_KEYS, 2):
+        assert [tuple(r) for r in op2_url_filter.judge(pages, listed=hosts, most=most).orderBy("page_id").collect()] == whole
+    allowed = op2_url_filter.judge(pages, block=[], allow=[], listed=[("net", "/")]).filter("verdict = 'block'").collect()
+    assert {r["page_id"] for r in allowed} == {i for i, u in enumerate(URLS) if (brute(u)[0] == "net" or brute(u)[0].endswith(".net")) and brute(u)[1].startswith("/")}
+
+
+def test_plans_do_not_grow_by_level(spark):
+    r = random.Random(2)
+    keys = spark.range(20_000).selectExpr("concat('k', id) AS key")
+    made = op2_url_filter.Cascade(spark.createDataFrame([(f"k{r.randrange(20_000)}",) for _ in range(3000)], "key string"), keys, rate=0.3)
+    assert len(made.levels) > 3
+    plan = keys.filter(made.has(keys["key"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 0 and len(plan) < 20_000 * len(made.levels)
+
+
+def test_very_long_urls(spark):
+    urls = ["http://" + "a." * 50_000 + "example.net/en/" + "x" * 100_000, "http://" + "b" * 100_000 + ".net/", "http://net/" + "/" * 100_000]
+    rows = op2_url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert [tuple(r)[1:] for r in sorted(rows)] == [brute(u) for u in urls]
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     r = random.Random(1)
     universe = sorted({f"key{r.randrange(10**7)}" for _ in range(4000)})

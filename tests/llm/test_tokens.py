@@ -118,6 +118,55 @@ def test_tokens_of_sections(docs_of, rule):
         assert sum(r["n_tokens"] for r in got) == pytest.approx(len(spans)) and all(r["doc_tokens"] == len(spans) for r in got)
 
 
+def test_spans_as_the_library_gives_them():
+    tokenizer, spans = Tokenizer.from_file(BYTES), op1_token_counts.span_encoder(BYTES)
+    tokenizer.encode_special_tokens = True
+    for text in [t or "" for t in TEXTS] + noise("aab  \n\t-=_.é日😀1\x1c\x85'sSœ²½,;!'t’", 2000):
+        first, end = spans(text)
+        assert list(zip(first.tolist(), end.tolist())) == tokenizer.encode(text, add_special_tokens=False).offsets, text[:60]
+
+
+def test_token_counts_of_whole_documents(spark):
+    tokenizer = Tokenizer.from_file(BYTES)
+    tokenizer.encode_special_tokens = True
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {}
+    for r in op1_token_counts.query(spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(r["doc_id"], {})[r["section"]] = r
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        lines, starts = text.split("\n"), [0]
+        for line in lines[:-1]:
+            starts.append(starts[-1] + len(line) + 1)
+        expected = [0] * len(lines)
+        for a, _ in tokenizer.encode(text, add_special_tokens=False).offsets:
+            expected[max(k for k, s in enumerate(starts) if s <= a)] += 1
+        assert [got[i][k]["n_tokens"] for k in range(len(lines))] == expected
+
+
+def test_decoding_reverses_the_byte_table():
+    c = op4_byte_bpe.codec(RANKS, P.PATTERN)
+    assert c.decode(np.arange(256, dtype="<u4").tobytes()) == b"".join(sorted(op4_byte_bpe.read_ranks(RANKS), key=op4_byte_bpe.read_ranks(RANKS).get)[:256])
+    text = "a日本😀 naïve"
+    ids = c.encode(text)
+    starts = np.cumsum([0, *(len(c.decode(ids[4 * k : 4 * k + 4])) for k in range(len(ids) // 4))])[:-1]
+    assert c.split_tokens(text, ids) == sum((text.encode()[s] & 0xC0) == 0x80 for s in starts)
+
+
+def test_one_id_of_very_many_rows(spark, docs_of):
+    docs = docs_of([*((None, f"{'same beginning ' * 6}{i}") for i in range(60)), *((None, "equal") for _ in range(60)), *((5, None) for _ in range(20))])
+    path = shared_path(spark, "test-store")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        op3_token_store.write_store(docs.repartition(6), path, WORDS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = sorted(op3_token_store.read_store(spark, path).collect(), key=lambda r: r["start"])
+    assert len(rows) == 140 and [r["doc_id"] for r in rows] == [None] * 120 + [5] * 20
+    assert [r["start"] for r in rows] == list(np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1])
+    assert spark.read.parquet(path).select("shard").distinct().count() > 1
+
+
 def test_fields_are_sections(docs_of):
     rows = op1_token_counts.token_counts(docs_of(["some text here"]), BYTES, fields=("lang", "source", "text"), by_line=False).collect()
     assert [r["field"] for r in rows] == ["lang", "source", "text"] and rows[1]["end_char"] - rows[1]["first_char"] == 2
