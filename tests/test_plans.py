@@ -1,5 +1,7 @@
 """What the plans look like: filters reach the files, limits are fused, joins are hashed on common conditions."""
 
+import re
+
 import pytest
 
 from quernlight.engine import Engine
@@ -83,6 +85,25 @@ def test_large_tables_are_summed_up_before_joins(spark):
         assert "__part" not in e.spark_sql(other)
 
 
+def test_first_rows_of_a_correlated_query_are_by_its_keys(tpch):
+    """Local mode meets the rows in their order anyway, so the plan has to show the keys."""
+    theirs = "FROM orders WHERE o_custkey = c_custkey"
+    first = f"SELECT c_custkey, (SELECT o_orderkey {theirs} ORDER BY o_totalprice DESC, o_orderkey) AS best FROM customer"
+    for text, keys in (
+        (first, ("DESC NULLS FIRST", "ASC NULLS LAST")),
+        (f"SELECT c_custkey, (SELECT o_orderkey {theirs} ORDER BY o_totalprice, 1 LIMIT 1 OFFSET 2) AS third FROM customer", ("ASC NULLS LAST", "ASC NULLS LAST")),
+        (f"SELECT c_custkey, (SELECT o_orderstatus {theirs} GROUP BY o_orderstatus ORDER BY COUNT(*) DESC LIMIT 1) AS most FROM customer", ("DESC NULLS FIRST",)),
+        (f"SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT o_orderkey % 25 {theirs} ORDER BY o_orderdate LIMIT 3)", ("ASC NULLS LAST",)),
+        (f"SELECT c_custkey FROM customer WHERE 300000.0 < ANY (SELECT o_totalprice {theirs} ORDER BY o_orderdate LIMIT 3)", ("ASC NULLS LAST",)),
+    ):
+        assert re.search(r"row_number\(\) windowspecdefinition\(o_custkey#\d+L, " + ", ".join(rf"\w+#\d+L? {k}" for k in keys) + ", specified", plan(tpch, text)), text
+    best = {}
+    for r in tpch.run("SELECT o_custkey, o_totalprice, o_orderkey FROM orders").rows:
+        best[r["o_custkey"]] = min(best.get(r["o_custkey"], (0.0, None)), (-r["o_totalprice"], r["o_orderkey"]))
+    found = tpch.run(first).rows
+    assert len(found) == 150 and all(r["best"] == best.get(r["c_custkey"], (0, None))[1] for r in found)
+
+
 def test_a_cte_of_two_references_is_computed_once(spark, tpch):
     text = "WITH c AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT a.o_custkey FROM c a JOIN c b ON a.n = b.n AND a.o_custkey < b.o_custkey"
     spark.conf.set("spark.sql.adaptive.enabled", "false")
