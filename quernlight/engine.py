@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from . import types
 from .catalog import Catalog, ForeignKey
 from .frame import DataFrame, unique
+from .operators.partitioning import sorter_bytes
 from .plans import syntax as S
 from .plans.eager import LEAST_ROWS
 from .plans.syntax import DialectError, parse
@@ -24,6 +25,9 @@ from .session import build_session
 from .sources import in_memory, loaders
 from .streaming import ingest
 
+#: Memory that a task takes to sort a bucket; a table of more gets more buckets.
+BUCKET_BYTES = 192 << 20
+
 
 @dataclass
 class Result:
@@ -112,13 +116,16 @@ class Engine:
         """Write every table that has a primary key in buckets by that key, each sorted by it.
 
         A key then reads one bucket, a range of keys skips row groups by their extremes, and tables of equally many
-        buckets join on their keys without an exchange.
+        buckets join on their keys without an exchange. All get as many as the largest needs for buckets of
+        BUCKET_BYTES, and no fewer than asked for or than other tables have, so that tasks don't grow with the tables.
         """
-        n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        for name in self.catalog.names():
-            e = self.catalog.entry(name)
-            if e.primary_key and not e.buckets:
-                self.catalog.add(name, self.catalog.frame(name), e.primary_key, e.foreign_keys, managed=True, buckets=n)
+        entries = [self.catalog.entry(name) for name in self.catalog.names()]
+        due = [e for e in entries if e.primary_key and not e.buckets]
+        needed = max((-(-sorter_bytes(self.catalog.frame(e.name)) // BUCKET_BYTES) for e in due), default=0)
+        least = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = max(least, min(needed, int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))), *(e.buckets or 0 for e in entries))
+        for e in due:
+            self.catalog.add(e.name, self.catalog.frame(e.name), e.primary_key, e.foreign_keys, managed=True, buckets=n)
 
     # -- frames
 

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Types whose values take 8 bytes of a row, and what the sorter keeps of a row beside it (its size, and its place twice).
+FIXED, BESIDE = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType), 4 + 2 * 16
 
 
 def by_hash(df: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -31,6 +35,14 @@ def with_partition(df: DataFrame) -> DataFrame:
     return df.withColumn("partition", F.spark_partition_id())
 
 
+def sorter_bytes(df: DataFrame) -> int:
+    """About the memory that it takes to sort all rows at once: they are counted, and what has no fixed width is measured."""
+    loose = [f.name.replace("`", "``") for f in df.schema.fields if not isinstance(f.dataType, FIXED)]
+    n, *wide = df.agg(F.count(F.lit(1)), *(F.sum(F.octet_length(F.col(f"`{name}`").cast("string"))) for name in loose)).first()
+    width = 8 * (-(-len(df.columns) // 64) + len(df.columns) + len(loose)) + BESIDE  # bits for nulls, columns, and loose values to whole words
+    return n * width + sum(w or 0 for w in wide)
+
+
 def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
     """Files by key values, so that filters on the keys read only theirs."""
     df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(path)

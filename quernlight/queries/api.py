@@ -182,7 +182,7 @@ def eager_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_engine(spark: SparkSession, sf_dir: str, buckets: int = 8) -> Engine:
-    """orders and lineitem in buckets by the order's key."""
+    """orders and lineitem in buckets by the order's key, in so many at least."""
     e = Engine(spark)
     e.register("orders", spark.read.parquet(f"{sf_dir}/orders.parquet"), primary_key=["o_orderkey"])
     e.register("lineitem", spark.read.parquet(f"{sf_dir}/lineitem.parquet"), primary_key=["l_orderkey"])

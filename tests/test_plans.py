@@ -5,6 +5,7 @@ import re
 import pytest
 
 from quernlight.engine import Engine
+from quernlight.operators.partitioning import sorter_bytes
 from quernlight.queries.api import keyed_engine
 from quernlight.queries.relational import engine_over
 
@@ -69,6 +70,41 @@ def test_buckets_spare_exchanges_and_reads(spark):
     assert "rowCount" in costs
 
 
+def bucketed(e, text):
+    """The plan with bucketed scans wherever they can be."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    for setting, value in settings.items():
+        e.spark.conf.set(setting, value)
+    try:
+        return plan(e, text)
+    finally:
+        for setting in settings:
+            e.spark.conf.unset(setting)
+
+
+def test_larger_tables_get_more_buckets(spark, monkeypatch):
+    """Tasks that write keyed tables don't grow with them, and a look-up reads its bucket alone."""
+    monkeypatch.setattr("quernlight.engine.BUCKET_BYTES", 200_000, raising=False)
+    e, asked = keyed_engine(spark, DATA, 4), 4
+    orders, lineitem = e.catalog.entry("orders"), e.catalog.entry("lineitem")
+    assert orders.buckets == lineitem.buckets > asked
+    parts = spark.table(lineitem.view).groupBy("_metadata.file_path").count().collect()
+    assert asked < len(parts) <= lineitem.buckets and sum(p["count"] for p in parts) == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert max(p["count"] for p in parts) * 148 < 300_000  # 11 columns of 8 bytes, bits for nulls, two texts, and 36 beside
+    e.register_table("notes", [{"o": i, "note": "x" * 100} for i in range(9)], primary_key=["o"])
+    e.build_indexes(2)
+    assert e.catalog.entry("notes").buckets == orders.buckets
+    assert [r["o_orderkey"] for r in e.run("SELECT o_orderkey FROM orders WHERE o_orderkey = 17").rows] == [17]
+    assert f"SelectedBucketsCount: 1 out of {orders.buckets}" in bucketed(e, "SELECT o_custkey FROM orders WHERE o_orderkey = 17")
+
+
+def test_the_size_of_sorted_rows_follows_rows_and_texts(spark):
+    rows = spark.range(1000).selectExpr("id", "repeat('x', 100) AS `t``1`", "array(id, id) AS a", "CAST(NULL AS STRING) AS n")
+    flat = sorter_bytes(rows.select("id"))
+    assert flat == 1000 * (8 + 8 + 36) and sorter_bytes(rows.union(rows).select("id")) == 2 * flat
+    assert sorter_bytes(rows) > flat + 1000 * (100 + 3 * 8) and sorter_bytes(rows.limit(0)) == 0
+
+
 def test_large_tables_are_summed_up_before_joins(spark):
     e = Engine(spark, eager_rows=1)
     e.register_table("f", [{"id": i, "k": i % 7, "g": i % 3, "x": i} for i in range(60)], primary_key=["id"])
