@@ -98,6 +98,16 @@ def test_larger_tables_get_more_buckets(spark, monkeypatch):
     assert f"SelectedBucketsCount: 1 out of {orders.buckets}" in bucketed(e, "SELECT o_custkey FROM orders WHERE o_orderkey = 17")
 
 
+def test_a_range_of_keys_over_more_buckets_is_whole(spark, monkeypatch):
+    monkeypatch.setattr("quernlight.engine.BUCKET_BYTES", 100_000, raising=False)
+    e = keyed_engine(spark, DATA, 2)
+    assert e.catalog.entry("orders").buckets > 2
+    text = "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 40 AND 90"
+    assert "GreaterThanOrEqual(o_orderkey,40), LessThanOrEqual(o_orderkey,90)" in bucketed(e, text)
+    kept = spark.read.parquet(f"{DATA}/orders.parquet").filter("o_orderkey BETWEEN 40 AND 90").select("o_orderkey").collect()
+    assert sorted(r["o_orderkey"] for r in e.run(text).rows) == sorted(r["o_orderkey"] for r in kept)
+
+
 def test_the_size_of_sorted_rows_follows_rows_and_texts(spark):
     rows = spark.range(1000).selectExpr("id", "repeat('x', 100) AS `t``1`", "array(id, id) AS a", "CAST(NULL AS STRING) AS n")
     flat = sorter_bytes(rows.select("id"))
