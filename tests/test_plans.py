@@ -108,6 +108,16 @@ def test_a_range_of_keys_over_more_buckets_is_whole(spark, monkeypatch):
     assert sorted(r["o_orderkey"] for r in e.run(text).rows) == sorted(r["o_orderkey"] for r in kept)
 
 
+def test_tables_of_more_buckets_join_without_an_exchange(spark, monkeypatch):
+    monkeypatch.setattr("quernlight.engine.BUCKET_BYTES", 200_000, raising=False)
+    e = keyed_engine(spark, DATA, 2)
+    assert e.catalog.entry("orders").buckets == e.catalog.entry("lineitem").buckets > 2
+    text = "SELECT o_orderkey, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
+    joined = bucketed(e, text)
+    assert "SortMergeJoin" in joined and "Exchange" not in joined
+    assert len(e.run(text).rows) == spark.read.parquet(f"{DATA}/lineitem.parquet").count()  # each has an order
+
+
 def test_the_size_of_sorted_rows_follows_rows_and_texts(spark):
     rows = spark.range(1000).selectExpr("id", "repeat('x', 100) AS `t``1`", "array(id, id) AS a", "CAST(NULL AS STRING) AS n")
     flat = sorter_bytes(rows.select("id"))
